@@ -39,11 +39,13 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under CC BY-SA 3.0."],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "Proprietary": ["All rights reserved. No part of this publication may be reproduced without prior written permission.", "Copyright by the author. All rights reserved."],
+    "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "Copyright by the author. All rights reserved."],
 }
 #: Sentences that talk of the same words without granting anything, for the unknown class.
 ORDINARY = ["The driver showed her license to the officer at the gate.", "You need a fishing license in this state.", "The software is free of charge for students this week.", "Please read the terms and conditions of sale before you order.", "The general public was invited to the open day.", "This version of the story was published in 2004.", "He was permitted to use the file in the library.", "The commons lies north of the village.", "They released the second version of the record in spring.", "The apache helicopter landed near the river.", "A public foundation paid for the work on the bridge.", "The source of the river is subject to flooding."]
 FILLER = "the of a in and to was that it as on with his for at by which from had not but were all their one out so up her more when about what into them".split()
+#: Words that are common in any text: an n-gram of these alone is no feature, and none of them anchors one.
+COMMON = set(FILLER) | set("is are be been may can any no or if this that you your these those such use part work works text order state near met later prior before following under without person persons deal free public source general file files form forms version author authors".split())
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 #: Least share of the bigrams of the nearest template that a paragraph must have.
 CONFIRM = 0.5
@@ -56,6 +58,14 @@ def grams(text: str) -> list[str]:
     return [" ".join(ws[i : i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1)]
 
 
+OWN = {w for ts in TEMPLATES.values() for t in ts for w in WORD.findall(t.lower()) if len(w) > 1 and any(map(str.isalpha, w))} - COMMON - {w for t in ORDINARY for w in WORD.findall(t.lower()) if w not in ("license", "apache")}
+
+
+def tells(word: str) -> bool:
+    """Whether a word is a template's own: not common, and not among the ordinary sentences."""
+    return word in OWN
+
+
 @dataclass
 class LicenseModel:
     families: list[str]
@@ -65,12 +75,12 @@ class LicenseModel:
 
     def anchors(self) -> list[str]:
         """Words such that each kept n-gram has one of them, the most telling first."""
-        need = [set(g.split()) for g in self.weights]
+        need = [{w for w in g.split() if tells(w)} for g in self.weights]
         tally = Counter(w for ws in need for w in ws)
         out: list[str] = []
         for ws in sorted(need, key=lambda x: (len(x), sorted(x))):
             if not ws & set(out):
-                out.append(min(ws, key=lambda w: (w in FILLER, -tally[w], w)))
+                out.append(min(ws, key=lambda w: (-tally[w], w)))
         return sorted(out)
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -108,7 +118,7 @@ def fit(rows: int = MADE, least: int = 8, lasso: float = 3e-4, steps: int = 150)
     made = _made(rows)
     train, rest = [m for i, m in enumerate(made) if i % 4], made[::4]
     df = Counter(g for t, _ in train for g in set(grams(t)))
-    names = sorted(g for g, n in df.items() if n >= least and not set(g.split()) <= set(FILLER))
+    names = sorted(g for g, n in df.items() if n >= least and any(map(tells, g.split())))
     at = {g: i for i, g in enumerate(names)}
 
     def matrix(ms: list[tuple[str, int]]) -> np.ndarray:

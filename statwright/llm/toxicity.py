@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statwright.llm.common import labelled_sample, let
+from statwright.llm.common import labelled_sample, let, staged
 from statwright.llm.trees import sigmoid
 
 #: Labelled rows that the fit uses at most, and stems that the lexicon keeps at most (a model's size, not the data's).
 SAMPLE, STEMS = 12_000, 400
-#: Shortest and longest stem, least toxic documents with it, and least ratio of its rates in toxic and other documents.
-SHORTEST, LONGEST, SUPPORT, LIFT = 4, 10, 3, 6.0
+#: Shortest and longest stem, least share of the toxic documents (and three at least) that have it, least ratio of its
+#: rates in toxic and other documents, and least log-likelihood ratio, which keeps chance and copies out.
+SHORTEST, LONGEST, SUPPORT, LIFT, EVIDENCE = 4, 10, 0.01, 6.0, 22.0
 
 #: The closed classes of the grammar, in English, German, French and Spanish.
 THREATS = ["kill", "hurt", "destroy", "beat", "burn", "shoot", "töten", "schlagen", "vernichten", "tuer", "frapper", "détruire", "matar", "golpear", "destruir"]
@@ -153,18 +154,26 @@ class Matcher:
 def learn_stems(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
     """Stems (beginnings of words) with their log odds, from the documents of ``sample`` (columns id, y; bounded).
 
-    Each document counts once for each stem. A stem gives way to longer ones
+    Each document counts once for each stem, and near copies, told by the least
+    hash of their long words, as one document. A stem gives way to longer ones
     that hold most of its toxic documents at a much higher ratio.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}']+"), lambda w: F.length(w) >= SHORTEST))
-    stems = let(words, lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substring(w, F.lit(1), k))))))
-    chosen = docs.join(F.broadcast(sample), "id")
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    stems = let(F.col("words"), lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substring(w, F.lit(1), k))))))
+    longs = F.filter("words", lambda w: F.length(w) >= 10)
+    family = F.coalesce(F.array_min(F.transform(longs, lambda w: F.xxhash64(w))), F.xxhash64("id"))
+    chosen = staged(docs.join(F.broadcast(sample), "id").select("id", "y", words.alias("words")).withColumn("family", family).dropDuplicates(["y", "family"]), "sampled")
+    sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, other = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
     lift = (F.col("t") / toxic) / ((F.col("c") - F.col("t") + 0.5) / other)
+    t, o = F.col("t").cast("double"), (F.col("c") - F.col("t")).cast("double")
+    both = toxic + other
+    term = lambda n, of: F.when(n > 0, n * F.log(n / (F.col("c") * of / both))).otherwise(0.0)
+    rest = lambda n, of: F.when(of - n > 0, (of - n) * F.log((of - n) / ((both - F.col("c")) * of / both))).otherwise(0.0)
+    evidence = 2 * (term(t, toxic) + term(o, other) + rest(t, toxic) + rest(o, other))
     rows = (
         chosen.select("y", F.explode(stems).alias("stem")).groupBy("stem").agg(F.sum("y").cast("long").alias("t"), F.count("*").alias("c"))
-        .where((F.col("t") >= SUPPORT) & (lift >= LIFT)).orderBy(F.col("t").desc(), "stem").limit(50 * STEMS).collect()
+        .where((F.col("t") >= max(3, SUPPORT * toxic)) & (lift >= LIFT) & (evidence >= EVIDENCE)).orderBy(F.col("t").desc(), "stem").limit(50 * STEMS).collect()
     )
     found = {r["stem"]: (r["t"], (r["t"] / toxic) / ((r["c"] - r["t"] + 0.5) / other)) for r in rows}
     children: dict[str, list[str]] = {}
