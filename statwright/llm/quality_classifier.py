@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from statwright.llm.common import SPACE, labelled_sample, let
 from statwright.llm.trees import Rule, fit_boosted, fit_lasso, rule_column, rule_matrix, rules_of
 
-STATISTICS = ["n_words", "mean_word_chars", "symbols_per_word", "exclaims_per_word", "digits_per_word", "upper_share", "richness", "repeats_last_word", "distinct_lines", "words_per_line"]
+STATISTICS = ["n_words", "mean_word_chars", "symbols_per_word", "exclaims_per_word", "digits_per_word", "upper_share", "distinct_words", "richness", "repeats_last_word", "distinct_lines", "words_per_line"]
 #: Labelled rows that the fit uses at most.
 SAMPLE = 20_000
 
@@ -46,6 +46,7 @@ def statistics(text: Column) -> Column:
                 ratio(F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit(""))), n).alias("exclaims_per_word"),
                 ratio(_lost(t, r"[0-9]+"), n).alias("digits_per_word"),
                 ratio(_lost(t, r"\p{Lu}+"), chars).alias("upper_share"),
+                ratio(F.size(F.array_distinct(ws)), n).alias("distinct_words"),
                 (F.log1p(F.size(F.array_distinct(ws))) / F.log1p(F.greatest(n, F.lit(1)))).alias("richness"),
                 ratio(F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1)))), n).alias("repeats_last_word"),
                 ratio(F.size(F.array_distinct(ls)), F.size(ls)).alias("distinct_lines"),
