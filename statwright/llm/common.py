@@ -64,7 +64,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Deletes written stages that nothing reads any more."""
+    for df in stages:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def labelled_sample(labels: DataFrame, label: str, held: int, modulus: int, bound: int, id_col: str = "doc_id") -> DataFrame:

@@ -14,7 +14,8 @@ none between components may be missed.
    documents hold is left for probing; only the short lists are merged.
 3. Pairs that meet in a short list are bounded: each shingle flips one bit of a
    512-bit parity sketch, so the bits that differ never exceed the shingles that
-   differ. What passes is verified: the smaller set is probed into the larger
+   differ. Long documents, of which a sketch says little, must meet in many
+   lists instead. What passes is verified: the smaller set is probed into the larger
    one by binary search until the required overlap is reached or out of reach.
 4. To keep large groups of near copies from listing all their pairs, a first,
    linear pass links documents with leaders of lists by their smallest hashes;
@@ -30,20 +31,25 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statwright.llm.common import staged
+from statwright.llm.common import discard, staged
 
 #: Bits of a parity sketch, in longs of 64.
 SKETCH = 8
+#: Largest set whose sketch alone is trusted to keep the pairs few.
+SKETCHED = 1000
 #: Inverted lists beyond this length are long, in levels by powers of four.
 LONG = 64
 #: Endpoint ids that are broadcast at most.
 ID_BOUND = 500_000
+#: Edges that one task joins at most (some 150 bytes each in memory).
+EDGE_BOUND = 500_000
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 20
 
@@ -123,16 +129,27 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def sizes(n: int, percent: int) -> tuple[int, int]:
-    """How many smallest hashes a set of ``n`` keeps, and how many of its lists are merged.
+def threshold(n: int, percent: int) -> int:
+    """T: tokens of their smallest hashes that a set of ``n`` shares with any that it links with, if both keep so many more."""
+    p = n - least_overlap(n, percent) + 1
+    return max(1, min(p, 3 * n // 10 - p + 1))
 
-    With p = n - least_overlap + 1, a set keeps p - 1 + T hashes for T = p, and
-    two linked sets share T of the smaller's; leaving T - 1 aside for every
-    partner, down to the smallest that can link, merges the rest.
+
+@lru_cache(maxsize=100_000)
+def sizes(n: int, percent: int) -> tuple[int, int, int]:
+    """Of a set of ``n``: the smallest hashes kept, the lists merged, and the occurrences asked for in these.
+
+    It keeps p - 1 + T hashes (p = n - least_overlap + 1), of which a linked set
+    shares T; of these under any order T - 1 may be left aside, so that at least
+    one occurrence is in the rest, or T - k for k occurrences. T is the least of
+    all sizes that can link. Long documents ask for half of T, as their sketch
+    says little.
     """
     least = least_overlap(n, percent)
-    p, smallest = n - least + 1, least - least_overlap(least, percent) + 1
-    return 2 * p - 1, 2 * p - smallest
+    t = min(threshold(m, percent) for m in range(least, 100 * n // percent + 1))
+    kept = n - least + threshold(n, percent)
+    k = 1 if n <= SKETCHED else max(1, t // 2)
+    return kept, min(kept, kept - t + k), k
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -143,48 +160,69 @@ def sketch(s: np.ndarray) -> np.ndarray:
 def _row(text: str | None, n: int, percent: int) -> tuple:
     s = shingles(text, n)
     if not len(s):
-        return 0, 0, 0, [], []
+        return 0, 0, 0, 0, 0, [], []
     at = np.arange(1, len(s) + 1, dtype=U)
     with np.errstate(over="ignore"):
         f1, f2 = _mixed(s * at).sum(dtype=U), _mixed(s ^ (at * U(_INVERSE))).sum(dtype=U)
-    return len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), sketch(s), s[: sizes(len(s), percent)[0]].view(np.int64)
+    kept, merged, k = sizes(len(s), percent)
+    return len(s), int(f1.view(np.int64)), int(f2.view(np.int64)), merged, k, sketch(s), s[:kept].view(np.int64)
 
 
 def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n, f1, f2, sketch, least) from documents (id, text)."""
+    """(id, n, f1, f2, merged, k, sketch, least) from documents (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 1000):
                 part = batch.iloc[lo : lo + 1000]
-                out = pd.DataFrame([_row(t, n, percent) for t in part["text"]], columns=["n", "f1", "f2", "sketch", "least"])
+                out = pd.DataFrame([_row(t, n, percent) for t in part["text"]], columns=["n", "f1", "f2", "merged", "k", "sketch", "least"])
                 out.insert(0, "id", part["id"].array)
                 yield out
 
-    return docs.mapInPandas(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, sketch array<bigint>, least array<bigint>")
+    return docs.mapInPandas(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, merged int, k int, sketch array<bigint>, least array<bigint>")
+
+
+class Run:
+    """Columns of rows sorted by token, as arrays: token, id, n, and (in the second pass) k and comp."""
+
+    COLUMNS = ("token", "id", "n", "k", "comp")
+
+    def __init__(self, batch: pd.DataFrame | None = None):
+        self.of = {} if batch is None else {c: batch[c].to_numpy() for c in self.COLUMNS if c in batch}
+        self.sketch = np.empty((0, SKETCH), U) if batch is None else np.stack(batch["sketch"].to_numpy()).view(U)
+
+    def __len__(self) -> int:
+        return len(self.sketch)
 
+    def cut(self, lo: int, hi: int) -> Run:
+        out = Run()
+        out.of, out.sketch = {c: v[lo:hi] for c, v in self.of.items()}, self.sketch[lo:hi]
+        return out
 
-def _runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Runs of at least two rows with an equal key, of rows sorted by it."""
-    held: list[pd.DataFrame] = []
+    def joined(self, other: Run) -> Run:
+        if not len(self):
+            return other
+        out = Run()
+        out.of = {c: np.concatenate([v, other.of[c]]) for c, v in self.of.items()}
+        out.sketch = np.concatenate([self.sketch, other.sketch])
+        return out
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[Run]:
+    """The rows again, in portions that end where a token ends."""
+    held = Run()
     for batch in batches:
         if not len(batch):
             continue
-        k = batch[key].to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and held[0][key].iloc[0] != k[a]:
-                if sum(map(len, held)) > 1:
-                    yield pd.concat(held)
-                held = []
-            if a and b < len(k):
-                if b - a > 1:
-                    yield batch.iloc[a:b]
-            else:
-                held.append(batch.iloc[a:b])
-    if sum(map(len, held)) > 1:
-        yield pd.concat(held)
+        held = held.joined(Run(batch))
+        token = held.of["token"]
+        end = int(np.searchsorted(token, token[-1], side="left"))
+        if end:
+            yield held.cut(0, end)
+            held = held.cut(end, len(held))
+    if len(held):
+        yield held
 
 
 def most_different(total: np.ndarray, percent: int) -> np.ndarray:
@@ -196,45 +234,69 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def leaders_of(run: pd.DataFrame, percent: int, leaders: int = 8) -> list[tuple]:
-    """Pairs of a run's rows with one of the latest leaders that they may link with; who has none leads. Linear; need not be complete."""
-    run = run.sort_values(["n", "id"])
-    ids, n, sk = run["id"].tolist(), run["n"].to_numpy(), np.stack(run["sketch"].to_numpy()).view(U)
-    out, lead = [], []
-    for i in range(len(ids)):
-        if lead:
-            at = np.array(lead)
-            ok = np.flatnonzero(_differ(sk[at], sk[i]) <= most_different(n[at] + n[i], percent))
-            if len(ok):
-                if ids[at[ok[0]]] != ids[i]:
-                    out.append((ids[at[ok[0]]], ids[i]))
-                continue
-        lead = [*lead[-leaders + 1 :], i]
-    return out
+def _may_link(run: Run, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Of row pairs, whether their sizes and sketches leave a link possible."""
+    n = run.of["n"]
+    total = n[i] + n[j]
+    ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    at = np.flatnonzero(ok)
+    ok[at] = _differ(run.sketch[i[at]], run.sketch[j[at]]) <= most_different(total[at], percent)
+    return ok
+
 
+def neighbours(run: Run, percent: int, reach: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs: each row with the nearest one of the ``reach`` before it, in its token's list, that it may link with. Linear; need not be complete."""
+    token, open_rows = run.of["token"], np.arange(len(run))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d in range(1, reach + 1):
+        open_rows = open_rows[open_rows >= d]
+        rows = open_rows[token[open_rows] == token[open_rows - d]]
+        ok = _may_link(run, rows - d, rows, percent)
+        left.append(rows[ok] - d)
+        right.append(rows[ok])
+        open_rows = rows[~ok]
+    return np.concatenate(left), np.concatenate(right)
 
-def meeting(run: pd.DataFrame, percent: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a run's rows of different components that may link, by size and sketch; in blocks."""
-    comp = run["comp"].to_numpy()
-    if (comp == comp[0]).all():
-        return
-    order = np.argsort(run["n"].to_numpy(), kind="stable")
-    ids, n, comp = run["id"].to_numpy()[order], run["n"].to_numpy()[order], comp[order]
-    sk = np.stack(run["sketch"].to_numpy()[order]).view(U)
-    for lo in range(0, len(ids), block):
-        hi = min(lo + block, len(ids))
-        last = int(np.searchsorted(n, 100 * n[hi - 1] // percent, side="right"))
-        for at in range(lo, last, 4096):
-            to = min(at + 4096, last)
-            d = np.zeros((hi - lo, to - at), np.int64)
-            for k in range(SKETCH):
-                d += np.bitwise_count(sk[lo:hi, None, k] ^ sk[None, at:to, k])
-            total = n[lo:hi, None] + n[None, at:to]
-            ok = (d <= most_different(total, percent)) & (comp[lo:hi, None] != comp[None, at:to])
-            i, j = np.nonzero(ok)
-            up = i + lo < j + at
-            if up.any():
-                yield ids[i[up] + lo], ids[j[up] + at]
+
+def meeting(run: Run, percent: int, short: int = 64, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All row pairs of a token's list with different components that may link.
+
+    Lists up to ``short`` are compared together, by the distance of their rows;
+    longer ones in blocks of rows sorted by size.
+    """
+    token, comp = run.of["token"], run.of["comp"]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes_of = np.diff(np.r_[starts, len(token)])
+    rows = np.flatnonzero(np.repeat((sizes_of > 1) & (sizes_of <= short), sizes_of))
+    for d in range(1, short):
+        rows = rows[rows + d < len(token)]
+        rows = rows[token[rows] == token[rows + d]]
+        if not len(rows):
+            break
+        apart = rows[comp[rows] != comp[rows + d]]
+        ok = apart[_may_link(run, apart, apart + d, percent)]
+        if len(ok):
+            yield ok, ok + d
+    for start, size in zip(starts[sizes_of > short].tolist(), sizes_of[sizes_of > short].tolist(), strict=True):
+        one = comp[start : start + size]
+        if (one == one[0]).all():
+            continue
+        order = start + np.argsort(run.of["n"][start : start + size], kind="stable")
+        n = run.of["n"][order]
+        sk, comps = run.sketch[order], comp[order]
+        for lo in range(0, size, block):
+            hi = min(lo + block, size)
+            last = int(np.searchsorted(n, 100 * n[hi - 1] // percent, side="right"))
+            for at in range(lo, last, 4096):
+                to = min(at + 4096, last)
+                d = np.zeros((hi - lo, to - at), np.int64)
+                for k in range(SKETCH):
+                    d += np.bitwise_count(sk[lo:hi, None, k] ^ sk[None, at:to, k])
+                ok = (d <= most_different(n[lo:hi, None] + n[None, at:to], percent)) & (comps[lo:hi, None] != comps[None, at:to])
+                i, j = np.nonzero(ok)
+                up = i + lo < j + at
+                if up.any():
+                    yield order[i[up] + lo], order[j[up] + at]
 
 
 def reaches(small: np.ndarray, large: np.ndarray, percent: int) -> bool:
@@ -255,16 +317,16 @@ def reaches(small: np.ndarray, large: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Only the endpoints' texts are read into sets; these are written once and joined to both sides."""
+    """The pairs (a, b) that link, written. Only the endpoints' texts are read into sets; these are written once, joined to both sides, and deleted."""
     kind = docs.schema["id"].dataType.simpleString()
     ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    ends = F.broadcast(ends) if ends.count() <= ID_BOUND else ends
+    few = F.broadcast(ends) if ends.count() <= ID_BOUND else ends
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"].array, "s": [shingles(t, n).view(np.int64) for t in batch["text"]]})
 
-    of = staged(docs.join(ends, "id").mapInPandas(sets, f"id {kind}, s array<bigint>"), "sets")
+    of = staged(docs.join(few, "id").mapInPandas(sets, f"id {kind}, s array<bigint>"), "sets")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,19 +334,51 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
     joined = pairs.join(of.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(of.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInPandas(probe, f"a {kind}, b {kind}")
+    out = staged(joined.select("a", "b", "sa", "sb").mapInPandas(probe, f"a {kind}, b {kind}"), "links")
+    discard(ends, of)
+    return out
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(id, comp) in one task, by union-find; for a counted, bounded number of edges."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least: dict = {}
+
+        def root(x):
+            while (up := least.setdefault(x, x)) != x:
+                least[x] = x = least[up]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                a, b = sorted((root(a), root(b)))
+                least[b] = a
+        ids = list(least)
+        yield pd.DataFrame({"id": ids, "comp": [root(x) for x in ids]}, dtype=object)
+
+    return edges.coalesce(1).mapInPandas(run, f"id {kind}, comp {kind}")
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, comp) of the ids on edges (a, b): the least id that each reaches. Labels travel along edges and jump; each round is written."""
+    """(id, comp) of the ids on edges (a, b): the least id that each reaches.
+
+    Up to EDGE_BOUND edges are joined in one task. More are not: labels travel
+    along edges and jump, and each round is written.
+    """
+    if edges.count() <= EDGE_BOUND:
+        return staged(_joined(edges), "labels")
     both = staged(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
+    before = None
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(both["a"].alias("id")).agg(F.min("comp").alias("m"))
         lower = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         roots = labels.select(F.col("id").alias("r"), F.col("comp").alias("root"))
         new = staged(lower.join(roots, F.col("comp") == F.col("r"), "left").select("id", "old", F.least("comp", F.coalesce("root", "comp")).alias("comp")), "labels")
-        labels = new.select("id", "comp")
+        discard(labels if before is None else before)
+        labels, before = new.select("id", "comp"), new
         if new.where(F.col("old") != F.col("comp")).isEmpty():
             return labels
 
@@ -297,51 +391,55 @@ def components(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
     some = feats.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     members = staged(feats.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").select("id", "n", "rep"), "members")
-    reps = staged(some.join(members.where("id = rep").select("id").distinct(), "id", "left_semi"), "classes")
+    # an id with several texts is one document, and stands for all of them
+    named = members.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bool_or(F.col("rep") == F.col("id")).alias("stands"))
+    copies = staged(named.where("NOT stands").select("id"), "copies")
+    reps = some.join(F.broadcast(copies) if copies.count() <= ID_BOUND else copies, "id", "left_anti")
+    same = members.join(named.where("lo <> hi").select("id"), "id").where("rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     known = docs.where("id IS NOT NULL")
-
-    key = F.explode(F.slice("least", 1, 3)).alias("token")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
     def led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, "token"):
-            yield pd.DataFrame(leaders_of(run, percent), columns=["a", "b"], dtype="object")
-
-    by_token = lambda df: df.repartition("token").sortWithinPartitions("token")
-    first = by_token(reps.select(key, "id", "n", "sketch")).mapInPandas(led, f"a {kind}, b {kind}")
-    first = staged(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "led")
-    # an id with several texts is one document
-    same = members.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    same = same.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("lo").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b")
-    edges = staged(verified(first, known, n, percent).union(same), "links")
+        for run in _whole_runs(batches):
+            i, j = neighbours(run, percent)
+            yield pd.DataFrame({"a": run.of["id"][i], "b": run.of["id"][j]})
+
+    by_token = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
+    first = by_token(reps.select(F.explode(F.slice("least", 1, 3)).alias("token"), "id", "n", "sketch"), "n", "id").mapInPandas(led, f"a {kind}, b {kind}")
+    first = staged(first.where("a <> b").select(*pair).distinct(), "led")
+    edges = staged(verified(first, known, n, percent).union(same), "edges")
     labels = connected(edges)
 
-    comps = reps.join(labels, "id", "left").select("id", "n", "sketch", "least", F.coalesce("comp", "id").alias("comp"))
-    tokens = reps.select("id", F.explode("least").alias("token"))
-    counts = tokens.groupBy("token").count().where("count > 1")
-    shared = tokens.join(counts, "token").groupBy("id").agg(F.collect_list(F.struct("token", "count")).alias("shared"))
-    level = lambda c: F.ceil(F.log2(c / LONG) / 2)
-    longs = F.sort_array(F.transform(F.filter("shared", lambda x: x["count"] > LONG), lambda x: F.struct(level(x["count"]).alias("level"), x["token"].alias("token"))))
-    least_of = lambda c: F.ceil(F.lit(percent) * c / 100)
-    p = F.col("n") - least_of(F.col("n")) + 1
-    smallest = least_of(F.col("n")) - least_of(least_of(F.col("n"))) + 1
-    long_tokens = F.array_intersect(F.transform("longs", lambda x: x["token"]), "least")
-    merged = F.slice(F.concat(F.array_except("least", long_tokens), long_tokens), F.lit(1), (2 * p - smallest).cast("int"))
+    tokens = reps.select("id", F.posexplode("least").alias("pos", "token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = tokens.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "c"))).alias("shared"))
+    # the kept hashes in order, but for long lists, which go last, the longer the later; a place in this order needs the shared ones only
+    is_long = lambda x: x["c"] > LONG
+    level = lambda x: F.ceil(F.log2(x["c"] / LONG) / 2)
+    longs = F.sort_array(F.transform(F.filter("shared", is_long), lambda x: F.struct(level(x).alias("level"), x["pos"].alias("pos"), x["token"].alias("token"))))
+    short = F.filter("shared", lambda x: ~is_long(x))
+    before = lambda x: F.size(F.filter("longs", lambda y: y["pos"] < x["pos"]))
+    short_merged = F.filter(short, lambda x: x["pos"] - before(x) < F.col("merged"))
+    room = F.greatest(F.col("merged") - (F.col("kept") - F.size("longs")), F.lit(0))
+    lists = F.concat(F.transform(short_merged, lambda x: x["token"]), F.transform(F.slice("longs", F.lit(1), room), lambda y: y["token"]))
+    sketches = reps.select("id", "n", "k", "merged", F.size("least").alias("kept"), "sketch")
     posted = (
-        comps.join(shared, "id").withColumn("longs", longs)
-        .select("id", "n", "sketch", "comp", F.explode(F.array_intersect(merged, F.transform("shared", lambda x: x["token"]))).alias("token"))
+        shared.withColumn("longs", longs).join(sketches, "id").join(labels, "id", "left")
+        .select(F.explode(lists).alias("token"), "id", "n", "k", "sketch", F.coalesce("comp", "id").alias("comp"))
     )
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _runs(batches, "token"):
-            for a, b in meeting(run, percent):
-                yield pd.DataFrame({"a": a, "b": b})
-
-    second = by_token(posted).mapInPandas(met, f"a {kind}, b {kind}")
-    second = staged(second.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    labels = connected(edges.union(verified(second, known, n, percent)))
+        for run in _whole_runs(batches):
+            for i, j in meeting(run, percent):
+                yield pd.DataFrame({"a": run.of["id"][i], "b": run.of["id"][j], "k": np.minimum(run.of["k"][i], run.of["k"][j])})
+
+    second = by_token(posted).mapInPandas(met, f"a {kind}, b {kind}, k int")
+    second = second.where("a <> b").select(*pair, "k").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k")
+    second = staged(second.select("a", "b"), "met")
+    labels = connected(staged(edges.union(verified(second, known, n, percent)), "edges"))
     labels = labels.select(F.col("id").alias("rep"), "comp")
     out = members.join(labels, "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
 
 
 def keep(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
