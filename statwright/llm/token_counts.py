@@ -56,20 +56,10 @@ class Counter:
         unpaired, unknown = v.unpaired, v.unknown_score
         last, own = [""] * (n + 1), [0] * (n + 1)
         score, count = [0.0] * (n + 1), [0] * (n + 1)
-        matches = self.automaton.iter(unit)
-        at, match = next(matches, (n, None))
-        for end in range(n):
-            paired, best, single = False, None, False
-            while at == end:
-                piece, k, s = match
-                start = end + 1 - k
-                single = k == 1
-                if merging and not paired and not by_place and unpaired(last[start], piece):
-                    paired, last[end + 1], own[end + 1] = True, piece, own[start] + 1
-                s += score[start]
-                if best is None or s > best:
-                    best, count[end + 1] = s, count[start] + 1
-                at, match = next(matches, (n, None))
+        best, single, paired, at = None, False, not merging or by_place, 0
+
+        def close(end: int, best: float | None, single: bool, paired: bool) -> None:
+            """Ends a cell: a character without a piece of its own may be spelled."""
             if not single:
                 spelled = len(unit[end].encode("utf-8", "surrogatepass")) if v.bytes else 1
                 if best is None or score[end] + unknown > best:
@@ -77,6 +67,22 @@ class Counter:
                 if not paired:
                     own[end + 1] = own[end] + spelled
             score[end + 1] = best
+
+        for end, (piece, k, s) in self.automaton.iter(unit):
+            while at < end:
+                close(at, best, single, paired)
+                best, single, paired, at = None, False, not merging or by_place, at + 1
+            start = end + 1 - k
+            if k == 1:
+                single = True
+            if not paired and unpaired(last[start], piece):
+                paired, last[end + 1], own[end + 1] = True, piece, own[start] + 1
+            s += score[start]
+            if best is None or s > best:
+                best, count[end + 1] = s, count[start] + 1
+        while at < n:
+            close(at, best, single, paired)
+            best, single, paired, at = None, False, not merging or by_place, at + 1
         if not merging:
             own = count
         return (len(v.ids_of(v.merged(unit))) if by_place else own[n]) * HIGH + count[n]

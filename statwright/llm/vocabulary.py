@@ -30,7 +30,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units that a task remembers before it starts anew.
-MEMORY = 600_000
+MEMORY = 1_200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -91,7 +91,7 @@ class Vocabulary:
         self.table = [p.replace(MARK, " ").encode() if t in (NORMAL, UNUSED) else bytes([int(p[3:5], 16)]) if t == BYTE else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         self.unknown_score = min(normal, default=0.0) - 10
         self.longest = max(map(len, self.ids), default=1)
-        self.unpaired = lru_cache(maxsize=200_000)(self._unpaired)
+        self.unpaired = lru_cache(maxsize=500_000)(self._unpaired)
 
     def marked(self, text: str) -> str:
         text = text.replace(" ", MARK)
@@ -168,53 +168,43 @@ class Vocabulary:
 class Forward:
     """The forward cells of a unit, grown one character at a time and cut back to share a prefix.
 
-    ``at[i]`` is (start of the last piece, its text or None if spelled, score,
-    pieces so far) for the first i characters.
+    ``last[i]`` is the piece that ends the first i characters' path (None: the
+    character is spelled), ``score[i]`` the path's score for unigram models.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.v, self.text = vocab, ""
-        self.at: list[tuple[int, str | None, float, int]] = [(-1, "", 0.0, 0)]
+        self.last: list[str | None] = [""]
+        self.score = [0.0]
 
     def cut(self, n: int) -> None:
-        del self.at[n + 1 :]
+        del self.last[n + 1 :], self.score[n + 1 :]
         self.text = self.text[:n]
 
     def grow(self, char: str) -> None:
-        v = self.v
-        self.text += char
-        text, end = self.text, len(self.text)
-        arcs = [(j, text[j:]) for j in range(max(0, end - v.longest), end) if text[j:] in v.ids]
-        self.add(end, char, arcs)
-
-    def add(self, end: int, char: str, arcs: list[tuple[int, str]]) -> None:
-        """The cell for ``end``, from the arcs (start, piece) that end there, earliest start first."""
-        v, at = self.v, self.at
+        """The next cell: arcs are tried from the earliest start on."""
+        v, last = self.v, self.last
+        self.text = text = self.text + char
+        end, ids = len(text), v.ids
         if v.kind == BPE:
-            for j, piece in arcs:
-                last = at[j][1]
-                if v.unpaired(last or "", piece):
-                    at.append((j, piece, 0.0, at[j][3] + 1))
+            for j in range(max(0, end - v.longest), end):
+                if (piece := text[j:]) in ids and v.unpaired(last[j] or "", piece):
+                    last.append(piece)
                     return
-            n = len(v.bytes and char.encode("utf-8", "surrogatepass") or "?")
-            at.append((end - 1, None, 0.0, at[end - 1][3] + n))
+            last.append(None)
             return
-        best = None
-        for j, piece in arcs:
-            s = at[j][2] + v.scores[v.ids[piece]]
-            if best is None or s > best[2]:
-                best = (j, piece, s, at[j][3] + 1)
-        if not arcs or arcs[-1][0] != end - 1:
-            s = at[end - 1][2] + v.unknown_score
-            if best is None or s > best[2]:
-                n = len(v.bytes and char.encode("utf-8", "surrogatepass") or "?")
-                best = (end - 1, None, s, at[end - 1][3] + n)
-        at.append(best)
+        best, kept = None, None
+        for j in range(max(0, end - v.longest), end):
+            if (piece := text[j:]) in ids and (best is None or self.score[j] + v.scores[ids[piece]] > best):
+                best, kept = self.score[j] + v.scores[ids[piece]], piece
+        if char not in ids and (best is None or self.score[end - 1] + v.unknown_score > best):
+            best, kept = self.score[end - 1] + v.unknown_score, None
+        last.append(kept)
+        self.score.append(best)
 
     def pieces(self) -> list[str]:
         out, end = [], len(self.text)
         while end > 0:
-            start, piece, *_ = self.at[end]
-            out.append(piece if piece is not None else self.text[start:end])
-            end = start
+            out.append(self.last[end] or self.text[end - 1])
+            end -= len(out[-1])
         return out[::-1]
