@@ -46,6 +46,8 @@ SKETCH = 8
 SKETCHED = 1000
 #: Inverted lists beyond this length are long, in levels by powers of four.
 LONG = 64
+#: Smallest hashes by whose lists the linear pass looks for neighbours; each list has an order of its own.
+KEYS = 4
 #: Endpoint ids that are broadcast at most.
 ID_BOUND = 500_000
 #: Edges that one task joins at most (some 150 bytes each in memory).
@@ -244,7 +246,7 @@ def _may_link(run: Run, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarra
     return ok
 
 
-def neighbours(run: Run, percent: int, reach: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(run: Run, percent: int, reach: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs: each row with the nearest one of the ``reach`` before it, in its token's list, that it may link with. Linear; need not be complete."""
     token, open_rows = run.of["token"], np.arange(len(run))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -405,7 +407,7 @@ def components(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
             yield pd.DataFrame({"a": run.of["id"][i], "b": run.of["id"][j]})
 
     by_token = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
-    first = by_token(reps.select(F.explode(F.slice("least", 1, 3)).alias("token"), "id", "n", "sketch"), "n", "id").mapInPandas(led, f"a {kind}, b {kind}")
+    first = by_token(reps.select(F.explode(F.slice("least", 1, KEYS)).alias("token"), "id", "n", "sketch"), F.xxhash64("id", "token")).mapInPandas(led, f"a {kind}, b {kind}")
     first = staged(first.where("a <> b").select(*pair).distinct(), "led")
     edges = staged(verified(first, known, n, percent).union(same), "edges")
     labels = connected(edges)
