@@ -4,10 +4,12 @@ A lexicon maps words to classes: insults, whose stems and weights are learned
 from a bounded labelled sample, and fixed lists of threats, targets, negations
 and verbs of reported speech. Four small transducers read the classes of a
 clause from left to right and pass them on, each scaling the weights that pass:
-a target near an insult raises it, a threat counts only with a target, a
-negation and a reporting verb lower what follows them. They are composed into
+a target near an insult raises it, a threat counts only with a target before it,
+a negation and a reporting verb lower what follows them. They are composed into
 one machine, which runs over the clauses that hold an insult or a threat; an
-Aho-Corasick automaton finds these in the whole text. A document's score is a
+Aho-Corasick automaton finds these in the whole text. A threat that stands
+before the clause's first target waits for it, as scaled by the last two
+transducers, and counts if the target comes within a few words. A document's score is a
 logistic function of its clause scores, fitted on the same sample.
 
 A null or empty text has no clauses. Texts of any length are read whole. Rows
@@ -43,6 +45,9 @@ TARGETS = ["you", "your", "you're", "he", "she", "they", "them", "du", "dich", "
 NEGATIONS = ["not", "never", "isn't", "aren't", "don't", "won't", "nicht", "kein", "keine", "niemals", "jamais", "nunca", "jamás"]
 REPORTS = ["said", "says", "wrote", "called", "claimed", "quoted", "sagte", "schrieb", "nannte", "dit", "écrit", "dijo", "escribió", "llamó"]
 
+#: Words after a threat within which its target may come.
+AFTER = 4
+
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRO"
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -92,9 +97,13 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 def grammar() -> Transducer:
     aimed = within(TARGET, 4, {INSULT: (INSULT, 1.5)})
     threat = unless(TARGET, THREAT, 0.0)
+    return compose(compose(aimed, threat), lowered())
+
+
+def lowered() -> Transducer:
     negated = within(NEGATION, 3, {INSULT: (INSULT, 0.3), THREAT: (THREAT, 0.3)})
     reported = within(REPORT, 12, {INSULT: (INSULT, 0.5), THREAT: (THREAT, 0.5)})
-    return compose(compose(compose(aimed, threat), negated), reported)
+    return compose(negated, reported)
 
 
 @dataclass
@@ -112,7 +121,7 @@ class Matcher:
     def __init__(self, stems: dict[str, float]):
         import ahocorasick
 
-        self.stems, self.machine = stems, grammar()
+        self.stems, self.machine, self.lowered = stems, grammar(), lowered()
         self.closed = {w: c for ws, c in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in ws}
         self.automaton = ahocorasick.Automaton()
         for w in [*stems, *THREATS]:
@@ -124,6 +133,7 @@ class Matcher:
         return max((self.stems.get(word[:k], 0.0) for k in range(SHORTEST, min(len(word), LONGEST) + 1)), default=0.0)
 
     def clause(self, text: str) -> float:
+        """The score of one pass from left to right; threats whose target comes later are left to ``late``."""
         state, total = 0, 0.0
         for word in WORD.findall(text):
             weight = self.insult(word)
@@ -132,6 +142,18 @@ class Matcher:
             total += scale * (weight if out == INSULT else self.THREAT_WEIGHT if out == THREAT else 0.0)
         return total
 
+    def late(self, text: str) -> float:
+        """What the threats before the clause's first target add, if it comes within AFTER words."""
+        state, waiting = 0, []
+        for at, word in enumerate(WORD.findall(text)):
+            cls = self.closed.get(word, OTHER)
+            if cls == TARGET:
+                return self.THREAT_WEIGHT * sum(scale for begun, scale in waiting if at - begun <= AFTER)
+            _, scale, state = self.lowered.step(state, cls)
+            if cls == THREAT:
+                waiting.append((at, scale))
+        return 0.0
+
     def features(self, text: str | None) -> tuple[float, float, float]:
         """log(1 + sum), the largest, and the share of 100 words of the clause scores."""
         text = (text or "").lower()
@@ -146,7 +168,7 @@ class Matcher:
                 begin = m.end()
             stop = CLAUSE_END.search(text, last)
             done = stop.end() if stop else len(text)
-            score = self.clause(text[begin:done])
+            score = self.clause(text[begin:done]) + self.late(text[begin:done])
             total, most = total + score, max(most, score)
         return math.log1p(total), most, 100 * total / (1 + text.count(" ")) if total else 0.0
 

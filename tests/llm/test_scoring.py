@@ -95,6 +95,17 @@ def test_grammar():
     assert abs(m.features(text)[0] - np.log1p(total)) < 1e-12
 
 
+def test_threats_before_their_target():
+    m = toxicity.Matcher({"zorgon": 4.0})
+    for text in ("I will burn them", "kill you", "shoot them!", "i kill you"):
+        assert m.features(text)[1] == m.THREAT_WEIGHT, text
+    assert m.features("i will not kill you")[1] == 0.3 * m.THREAT_WEIGHT and m.features("they said. we kill you")[1] == m.THREAT_WEIGHT
+    assert m.features("one said we kill you")[1] == 0.5 * m.THREAT_WEIGHT and m.features("we beat and burn them")[1] == 2 * m.THREAT_WEIGHT
+    assert m.features("you i kill them")[1] == m.THREAT_WEIGHT  # once, though targets stand on both sides
+    for text in ("kill the process", "kill the process. you", "burn the wood that was left for them"):
+        assert m.features(text) == (0.0, 0.0, 0.0), text
+
+
 def test_toxicity(spark, table):
     docs, labels = corpus(3, 400)
     df, lb = table(docs + EDGES), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
