@@ -6,8 +6,13 @@ a span of whole turns whose tokens fit a budget. Each window repeats the
 conversation's first system turn and, at most, a limited number of the turns
 before its span; what it repeats is masked, so every target is learned once.
 
-Spans come from prefix sums over the turns: a span is the turns whose sum begins
-in the same multiple of the budget.
+A window's tokens are those of its own turns and of all that it repeats. A span
+begins with a turn that no longer fits; turns before it are repeated, the nearest
+first, as far as they fit beside the system turn and that turn. Only a turn that
+is too long beside the system turn exceeds the budget; its window holds these two.
+With ``within=False`` spans are the turns whose prefix sum begins in the same
+multiple of the budget, and repeats are not counted: windows then hold up to two
+budgets and more. The query op10_chat_format still deals so, as its SQL does.
 
 Template: ``<s>[SYS] text [/SYS]``, ``<s>[INST] text [/INST]``, `` text </s>`` and
 ``<s>[role] text [/role]`` for other roles. Escape: ``\\`` becomes ``\\\\`` and ``[``,
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from statwright.llm.common import SPACE
 
-#: Tokens (whitespace words and marks) of a window's own turns, and turns of repeated history.
+#: Tokens (whitespace words and marks) of a window, and turns of repeated history.
 BUDGET, HISTORY = 1024, 2
 HEADS = {"system": "<s>[SYS] ", "user": "<s>[INST] ", "assistant": "<s>[ANS] "}
 TAILS = {"system": " [/SYS]</s>", "user": " [/INST]</s>", "assistant": " [/ANS]</s>"}
@@ -55,36 +60,59 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     )
 
 
-def placed(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Each turn with its position, formatted text, tokens and span (the number of its own window).
-
-    A span ends where the prefix sum crosses a multiple of the budget, so its
-    turns hold less than two budgets unless one turn alone is longer.
-    """
+def placed(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = True) -> DataFrame:
+    """Each turn with its position, formatted text, tokens, span (the number of its own window) and, on a span's first turn, reach (the turns before it that are repeated)."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     marked = turns.withColumn("formatted", _marked(F.col("role"), F.col("text")))
+    at = marked.withColumn("tokens", F.size(F.split("formatted", SPACE)).cast("long")).withColumn("pos", F.row_number().over(order).cast("long"))
+    if within:
+        return _within(at, budget, history)
+    by_pos = Window.partitionBy("conv_id").orderBy("pos")
+    span = F.floor((F.sum("tokens").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")) / budget)
+    return at.withColumn("span", span).withColumn("reach", F.when(F.coalesce(F.lag("span").over(by_pos), F.lit(-1)) < F.col("span"), history))
+
+
+def _within(at: DataFrame, budget: int, history: int) -> DataFrame:
+    """Spans by a fold over a conversation's tokens, which keeps the first turns of spans; ``begun`` is what a window would hold that begins with a turn."""
+    by_pos, whole = Window.partitionBy("conv_id").orderBy("pos"), Window.partitionBy("conv_id")
+    system = F.min(F.when(F.col("role") == "system", F.struct("pos", "tokens"))).over(whole)
+    known = at.withColumn("system", system).withColumn("base", F.col("tokens") + F.when(F.col("system.pos") < F.col("pos"), F.col("system.tokens")).otherwise(0))
+    own = F.when(F.col("pos") == F.col("system.pos"), 0).otherwise(F.col("tokens"))
+    reach, begun, total = F.lit(0), F.col("base"), F.col("base")
+    for k in range(1, history + 1):
+        total = total + F.coalesce(F.lag(own, k).over(by_pos), F.lit(0))
+        reach, begun = F.when(total <= budget, k).otherwise(reach), F.when(total <= budget, total).otherwise(begun)
+    known = known.withColumn("begun", begun).withColumn("reach", reach)
+    fold = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("pos", "tokens", "begun"))), F.struct(F.lit(budget).cast("long").alias("held"), F.array().cast("array<bigint>").alias("starts")),
+        lambda a, t: F.struct(
+            F.when(a["held"] + t["tokens"] > budget, t["begun"]).otherwise(a["held"] + t["tokens"]).alias("held"),
+            F.when(a["held"] + t["tokens"] > budget, F.concat(a["starts"], F.array(t["pos"]))).otherwise(a["starts"]).alias("starts"),
+        ),
+        lambda a: a["starts"],
+    )
+    starts = known.groupBy("conv_id").agg(fold.alias("starts")).select(F.col("conv_id").alias("of"), F.posexplode("starts").alias("number", "start"))
+    joined = known.join(starts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("start")), "left")
     return (
-        marked.withColumn("tokens", F.size(F.split("formatted", SPACE)).cast("long"))
-        .withColumn("pos", F.row_number().over(order).cast("long"))
-        .withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
-        .withColumn("span", F.floor(F.col("before") / budget))
+        joined.withColumn("span", F.max("number").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+        .withColumn("reach", F.when(F.col("start").isNotNull(), F.col("reach"))).drop("system", "base", "begun", "of", "number", "start")
     )
 
 
-def segments(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, **columns: str) -> DataFrame:
+def segments(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = True, **columns: str) -> DataFrame:
     """(conv_id, window, pos, role, formatted, own, loss): the turns that each window holds, in order of pos.
 
     own marks the turns of the window's span, which each turn is once; loss marks the assistant turns of the window's own span. A turn is repeated
-    in the windows whose span begins at most ``history`` turns after it, which
-    looking that far ahead tells; the system turn is repeated in all.
+    in the windows whose span begins at most ``history`` turns after it and reaches
+    back to it, which looking that far ahead tells; the system turn is repeated in all.
     """
-    at = placed(turns_of(conversations, **columns), budget)
+    at = placed(turns_of(conversations, **columns), budget, history, within)
     by_pos = Window.partitionBy("conv_id").orderBy("pos")
-    ahead = F.array_distinct(F.array_compact(F.array(*[F.lead("span", k).over(by_pos) for k in range(1, history + 1)]))) if history else F.array().cast("array<bigint>")
+    ahead = F.array_compact(F.array(*[F.lead(F.when(F.col("reach") >= k, F.col("span")), k).over(by_pos) for k in range(1, history + 1)])) if history else F.array().cast("array<bigint>")
     rows = at.withColumn("later", ahead).withColumn("first_system", (F.col("role") == "system") & (F.col("pos") == F.min(F.when(F.col("role") == "system", F.col("pos"))).over(Window.partitionBy("conv_id"))))
     own = rows.select("conv_id", F.col("span").alias("window"), "pos", "role", "formatted", F.lit(True).alias("own"), (F.col("role") == "assistant").alias("loss"))
     repeated = (
-        rows.where(~F.col("first_system")).select("conv_id", F.explode(F.filter("later", lambda s: s > F.col("span"))).alias("window"), "pos", "role", "formatted")
+        rows.where(~F.col("first_system")).select("conv_id", F.explode("later").alias("window"), "pos", "role", "formatted")
         .select("*", F.lit(False).alias("own"), F.lit(False).alias("loss"))
     )
     windows = at.select("conv_id", F.col("span").alias("window")).distinct()
@@ -96,9 +124,9 @@ def segments(conversations: DataFrame, budget: int = BUDGET, history: int = HIST
     return own.unionByName(repeated).unionByName(kept)
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, **columns: str) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = True, **columns: str) -> DataFrame:
     """(conv_id, window, segments, formatted): each window as text, with the loss mask as segments (pos, role, start, chars, own, loss)."""
-    lists = segments(conversations, budget, history, **columns).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "formatted", "own", "loss"))).alias("parts"))
+    lists = segments(conversations, budget, history, within, **columns).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "formatted", "own", "loss"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["formatted"]), "")
     marks = F.aggregate(
         "parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:bigint,role:string,start:int,chars:int,own:boolean,loss:boolean>>").alias("out")),

@@ -164,3 +164,41 @@ def test_chat_format(spark):
         assert w["segments"][-1]["start"] + w["segments"][-1]["chars"] == len(w["formatted"])
     assert chat_format.windows(df.where("false")).count() == 0
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def brute_windows(turns, budget, history):
+    """[(own positions, repeated positions)] of turns (role, tokens)."""
+    system = next((k for k, (r, _) in enumerate(turns) if r == "system"), None)
+    out, held = [], 0
+    for k, (_, n) in enumerate(turns):
+        if not out or held + n > budget:
+            again = [system] if system is not None and system < k else []
+            held = n + sum(turns[j][1] for j in again)
+            before, total = [], held
+            for j in range(k - 1, max(-1, k - 1 - history), -1):
+                total += turns[j][1] if j != system else 0
+                if total > budget:
+                    break
+                before, held = before + ([j] if j != system else []), total
+            out.append(([], sorted(again + before)))
+        else:
+            held += n
+        out[-1][0].append(k)
+    return out
+
+
+def test_windows_keep_the_budget(spark):
+    rng = random.Random(9)
+    sizes = {c: [(rng.choice(["user", "assistant", "user", "assistant", "system"]), rng.choice([3, 5, 8, 13, 30, 58, 61, 90])) for _ in range(rng.randrange(1, 25))] for c in [*range(25), None]}
+    rows = [(c, t, r, "x " * (n - 3) + "x") for c, turns in sizes.items() for t, (r, n) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got: dict = {}
+    for w in chat_format.windows(df, budget=60, history=2).collect():
+        own, again = [s["pos"] - 1 for s in w["segments"] if s["own"]], [s["pos"] - 1 for s in w["segments"] if not s["own"]]
+        got.setdefault(w["conv_id"], []).append((w["window"], own, again))
+        turns = sizes[w["conv_id"]]
+        over = sum(turns[k][1] for k in own + again) > 60
+        assert not over or (len(own) == 1 and all(turns[k][0] == "system" for k in again))
+    for c, turns in sizes.items():
+        assert [x[1:] for x in sorted(got[c])] == brute_windows(turns, 60, 2), c
+        assert [x[0] for x in sorted(got[c])] == list(range(len(got[c])))
