@@ -8,11 +8,14 @@ the file's lines, so no file is walked in Python.
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statwright.functions.fixed import CONTINUATIONS, INDENT, LEADING_DATE, METADATA_LINE, MONEY_COLUMN, NOT_A_ROW, PAGE_WIDTH, PRINTED_MONEY, SECTIONS, SKIP_SECTION, YEAR_TOTAL
 from statwright.functions.foreign import foreign_amount, fx_rate
+from statwright.sources.layout import LayoutError, has_money, roles_of
 
 SIGN_OF = {name: sign for _, sign, name in SECTIONS}
 
@@ -118,11 +121,31 @@ def reconciled(lines: DataFrame, rows: DataFrame, tolerance: float = 0.02) -> Da
     return both.withColumn("ok", F.abs(F.col("printed") - F.col("extracted")) <= F.lit(tolerance).cast("decimal(4,2)"))
 
 
-def lines_of_pdf(path: str, password: str | None = None) -> list[tuple]:
-    """(page, text, x0, x1, top) of a PDF, by an optional library."""
+def ruled(tables: list[list[list]]) -> tuple[dict[str, str], list[dict[str, str]]] | None:
+    """(roles, rows by header cell) of tables drawn with lines, of which one of the first three rows names a date and money; null for fewer than two rows."""
+    header, roles, out = [], {}, []
+    for table in tables:
+        cells = [[str(c or "").strip() for c in row] for row in table]
+        for at, head in enumerate(cells[:3] if len(cells) > 1 else []):
+            found = roles_of(head)
+            if "date" in found and has_money(found):
+                header, roles = (header, roles) if roles else (head, found)
+                out += [dict(zip(header, [*row, *[""] * len(header)], strict=False)) for row in cells[at + 1 :] if any(row)]
+                break
+    return (roles, out) if len(out) > 1 else None
+
+
+def read_pdf(content: bytes, password: str | None = None) -> tuple[list[list[list]], list[tuple]]:
+    """The ruled tables of a PDF and its lines (page, text, x0, x1, top), by an optional library."""
     try:
         import pdfplumber
     except ImportError as e:
-        raise RuntimeError("reading PDF files needs pdfplumber; a table of lines works without") from e
-    with pdfplumber.open(path, password=password or "") as pdf:
-        return [(k, x["text"], float(x["x0"]), float(x["x1"]), float(x["top"])) for k, page in enumerate(pdf.pages) for x in page.extract_text_lines()]
+        raise LayoutError("reading PDF files needs pdfplumber; a table of lines works without") from e
+    try:
+        with pdfplumber.open(io.BytesIO(content), password=password or "") as pdf:
+            tables = [t for page in pdf.pages for t in page.extract_tables()]
+            return tables, [(k, x["text"], float(x["x0"]), float(x["x1"]), float(x["top"])) for k, page in enumerate(pdf.pages) for x in page.extract_text_lines()]
+    except Exception as e:
+        if b"/Encrypt" in content[:2048] or b"/Encrypt" in content[-4096:]:
+            raise LayoutError("the file is locked; a pdf_password in statements.yaml is missing or wrong") from e
+        raise LayoutError(f"the file could not be opened as a PDF: {str(e) or type(e).__name__}") from e

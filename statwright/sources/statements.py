@@ -3,7 +3,9 @@
 Files are read by Spark (``binaryFile``), so any store it reaches will do. A
 task turns each file into rows of role cells, or one error; all that follows is
 column expressions: date and sign plans are aggregated by file and broadcast to
-the rows where small, as Spark decides from their size.
+the rows where small, as Spark decides from their size. A PDF is read as its
+ruled tables or else its lines, whose rows come from ``pages`` with the direction
+that its section headings state.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass, fields
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statwright.functions import categories, foreign
@@ -21,10 +23,13 @@ from statwright.functions import money as m
 from statwright.functions.dates import date_plans, read_date
 from statwright.functions.merchants import normalize_merchant
 from statwright.operators.ledger import with_id, with_occurrence
+from statwright.sources import pages
 from statwright.sources.layout import LayoutError, account_of, data_rows, layout_of
 
-SUFFIXES = "*.{csv,tsv,txt,CSV,TSV,TXT}"
-ROWS = "path string, source_file string, file_hash string, account string, source_row int, date string, description string, amount string, debit string, credit string, type string, currency string, has_debit_credit boolean, error string"
+SUFFIXES = "*.{csv,tsv,txt,pdf,CSV,TSV,TXT,PDF}"
+ROWS = "path string, source_file string, file_hash string, account string, source_row int, date string, description string, amount string, debit string, credit string, type string, currency string, has_debit_credit boolean, error string, detail string, directed boolean"
+#: What a line of a PDF has besides.
+LINE = ", page int, line_text string, x0 double, x1 double, top double"
 ROLES = ("date", "description", "amount", "debit", "credit", "type", "currency")
 
 
@@ -83,7 +88,48 @@ def read_rows(files: DataFrame, override: Override = Override()) -> DataFrame:
                 out = [base | {"source_row": layout.header_row + 2 + k, "has_debit_credit": split} | {r: row.get(c, "") for r, c in roles.items()} for k, row in enumerate(data_rows(layout, cells))]
                 yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return files.mapInPandas(run, ROWS)
+    pdf = F.lower("source_file").endswith(".pdf")
+    if files.where(pdf).select("source_file").isEmpty():
+        return files.mapInPandas(run, ROWS)
+    return files.where(~pdf).mapInPandas(run, ROWS).unionByName(_page_rows(files.where(pdf), override))
+
+
+def _page_rows(files: DataFrame, override: Override) -> DataFrame:
+    """The same of PDF files; ``directed`` tells that amounts already have a minus for money out."""
+    read = pages.read_pdf
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in (ROWS + LINE).split(", ")]
+        for batch in batches:
+            for f in batch.itertuples(index=False):
+                base = {"path": f.path, "source_file": f.source_file, "file_hash": f.file_hash, "account": override.account_name or account_of(PurePosixPath(f.source_file).stem)}
+                try:
+                    tables, lines = read(bytes(f.content), override.pdf_password)
+                    if not lines and not tables:
+                        raise LayoutError("the PDF holds no text; it may be a scan")
+                except LayoutError as e:
+                    yield pd.DataFrame([base | {"error": str(e)}], columns=names, dtype=object)
+                    continue
+                if grid := pages.ruled(tables):
+                    roles = grid[0] | {r: c for r in ROLES[:5] if (c := getattr(override, f"{r}_column"))}
+                    out = [base | {"source_row": 2 + k, "has_debit_credit": {"debit", "credit"} <= roles.keys()} | {r: row.get(c, "") for r, c in roles.items()} for k, row in enumerate(grid[1])]
+                else:
+                    out = [base | dict(zip(("page", "line_text", "x0", "x1", "top"), x, strict=True)) for x in lines]
+                yield pd.DataFrame(out, columns=names, dtype=object)
+
+    parsed = files.mapInPandas(run, ROWS + LINE)
+    own = [c.split()[0] for c in ROWS.split(", ")]
+    of_file = ["path", "source_file", "file_hash", "account"]
+    lines = parsed.where("page IS NOT NULL")
+    rows = pages.directed(pages.rows_of(lines.select(F.col("path").alias("file"), "page", F.col("line_text").alias("text"), "x0", "x1", "top")))
+    stated = F.max(pages.sign_of(F.col("section")).isNotNull()).over(Window.partitionBy("file"))
+    found = rows.withColumn("directed", stated).select(
+        F.col("file").alias("path"), (F.col("row") + 1).cast("int").alias("source_row"), "date", "description",
+        F.when(F.col("directed"), F.col("signed").cast("string")).otherwise(F.col("amount")).alias("amount"), F.lit(False).alias("has_debit_credit"), "detail", "directed",
+    )
+    joined = lines.select(of_file).distinct().join(found, "path", "left")
+    error = F.when(F.col("source_row").isNull(), "no rows that begin with a date and end with an amount were found")
+    return parsed.where("page IS NULL").select(own).unionByName(joined.withColumn("error", error), allowMissingColumns=True).select(own)
 
 
 def normalized(rows: DataFrame, override: Override = Override(), rules: list[categories.CategoryRule] = categories.BUILTIN, foreign_detail: str | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -98,7 +144,8 @@ def normalized(rows: DataFrame, override: Override = Override(), rules: list[cat
     signs = good.select(F.col("path").alias("file"), "amount", "type", "has_debit_credit", flag(override.negative_is_outflow, "boolean").alias("override"))
     plans = date_plans(votes).select(F.col("file").alias("path"), "fmt").join(m.sign_plans(signs).select(F.col("file").alias("path"), "mode", "negative_is_outflow"), "path")
     home = override.currency or "USD"
-    with_plans = good.join(plans, "path", "left")
+    stated = F.coalesce("directed", F.lit(False))
+    with_plans = good.join(plans, "path", "left").withColumn("mode", F.when(stated, "signed").otherwise(F.col("mode"))).withColumn("negative_is_outflow", stated | F.col("negative_is_outflow"))
     dated = with_plans.withColumn("posted_on", read_date(F.col("date"), F.col("fmt"))).withColumn("amount_cents", m.signed_cents(*[F.col(c) for c in ("mode", "negative_is_outflow", "amount", "debit", "credit", "type")]))
     blank = F.coalesce(F.trim("date"), F.lit("")) == ""
     bad = (

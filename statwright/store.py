@@ -77,7 +77,7 @@ class Store:
         fresh = files if force else lg.new_files(files, self.log())
         rows = st.read_rows(fresh, override).persist()
         known = files.select("source_file", "file_hash").collect()
-        new, bad = st.normalized(rows, override, rules)
+        new, bad = st.normalized(rows, override, rules, "detail")
         new = new.persist()
         added = lg.insert_ignore(self.ledger(), new).persist()
         errors: dict[str, list[str]] = {}

@@ -76,6 +76,30 @@ def test_statement_pages(spark):
     assert [float(x) for x in checks["in"][:2]] == [40.0, 42.0]
 
 
+def test_import_of_pdf_files(spark, tools, tmp_path, monkeypatch):
+    folder = tmp_path / "pdf"
+    folder.mkdir()
+    for name in ("card.pdf", "grid.PDF", "plain.pdf", "empty.pdf", "words.pdf"):
+        (folder / name).write_bytes(name.encode())
+    got = tools.import_statements(str(folder))["imported"]
+    assert len(got) == 5 and all(r["error_count"] == 1 and not r["rows_read"] for r in got)  # no such library, or no PDF
+    printed = [(0, t, float(a), float(b), float(k)) for k, (t, a, b) in enumerate(LINES)]
+    grids = [[["Account", "1"]], [["", "", ""], ["Date", "Description", "Amount"], ["2026-03-01", "RENT", "-700.00"], [None, "", ""]], [["Date", "Description", "Amount"], ["2026-03-02", "PAY", "900.00"]]]
+
+    def fake(content, password=None):
+        plain = [(0, "02/01/26 BOOK SHOP -$5.00", 20.0, 590.0, 1.0), (0, "02/02/26 PAYROLL $50.00", 20.0, 590.0, 2.0)]
+        return {b"card.pdf": ([], printed), b"grid.PDF": (grids, printed), b"plain.pdf": ([], plain), b"words.pdf": ([], [(0, "hello", 1.0, 2.0, 3.0)])}.get(content, ([], []))
+
+    monkeypatch.setattr(pages, "read_pdf", fake)
+    by = {r["file"]: r for r in tools.import_statements(str(folder))["imported"]}
+    assert {f: (r["rows_inserted"], r["error_count"]) for f, r in by.items()} == {"card.pdf": (4, 0), "grid.PDF": (2, 0), "plain.pdf": (2, 0), "empty.pdf": (0, 1), "words.pdf": (0, 1)}
+    rows = {(r["source_file"], r["source_row"]): (str(r["posted_on"]), r["raw_description"], r["amount_cents"], r["original_currency"]) for r in tools.store.ledger().collect()}
+    assert rows["card.pdf", 2] == ("2026-01-05", "PAYMENT RECEIVED", 4000, None) and rows["card.pdf", 5] == ("2026-01-08", "REFUND SHOP", 200, None)
+    assert rows["card.pdf", 4] == ("2026-01-07", "HOTEL X", -2000, "BRL") and rows["card.pdf", 3][1:3] == ("COFFEE PLACE OAKLAND", -1200)
+    assert rows["grid.PDF", 2][1:3] == ("RENT", -70000) and rows["grid.PDF", 3][1:3] == ("PAY", 90000)
+    assert rows["plain.pdf", 2][2] == -500 and rows["plain.pdf", 3][2] == 5000
+
+
 def test_watched_folder(spark, tmp_path):
     from statwright.streaming.folder import watch
 
