@@ -1,12 +1,16 @@
 """License scans: a trained classifier of paragraphs, confirmed against templates.
 
-Paragraphs are lines. A sparse logistic regression on word 1- to 3-grams, one
+Lines are looked at one by one, and then paragraphs, runs of lines that are not
+blank, for statements that go over several lines or share a line. A sparse logistic regression on word 1- to 3-grams, one
 against all for each licence family, is trained on paragraphs that are made by
 rule from the templates below and from ordinary prose. A family's weights are
 kept for n-grams that speak for it; a paragraph without any has just the bias.
 The threshold of each family is calibrated on held-out made paragraphs, so that
 what stays below all is ``unknown``. A prediction counts if the paragraph shares
-enough word bigrams with a template of the family.
+enough word bigrams with a template of the family. In a paragraph these must stand
+within a window of words, whose text is predicted; each family over its threshold
+counts, unless another's matches hold all of its own. A statement is reported at
+the line in which it begins.
 
 Every line of a whole text is looked at: a regular expression of the words that
 all kept n-grams need finds lines that could have a prediction at all; others
@@ -93,6 +97,14 @@ class LicenseModel:
         k = int(np.argmax(p - np.array(self.threshold)))
         return (self.families[k], float(p[k])) if p[k] >= self.threshold[k] else ("unknown", float(p[k]))
 
+    def over(self, text: str) -> dict[str, float]:
+        """All families over their thresholds, with their probabilities."""
+        z = np.array(self.bias)
+        for g in set(grams(text)):
+            if g in self.weights:
+                z = z + self.weights[g]
+        return {f: float(p) for f, p, t in zip(self.families, sigmoid(z), self.threshold, strict=True) if p >= t}
+
 
 def _made(rows: int) -> list[tuple[str, int]]:
     """Paragraphs by rule: templates with words lost, replaced and put around them, and ordinary ones (class -1)."""
@@ -153,31 +165,115 @@ def confirmed(text: str, family: str) -> tuple[float, int]:
     return shares[best], best
 
 
+def _windows() -> tuple[dict[tuple[str, str], list[int]], list[tuple[str, int, int]]]:
+    """The templates (by number) that have a bigram; each one's family, distinct bigrams and longest window in words."""
+    having: dict[tuple[str, str], list[int]] = {}
+    about = []
+    for family, templates in TEMPLATES.items():
+        for t in templates:
+            ws = WORD.findall(t.lower())
+            own = set(zip(ws, ws[1:], strict=False))
+            for b in own:
+                having.setdefault(b, []).append(len(about))
+            about.append((family, len(own), len(ws) + len(ws) // 2 + 2))
+    return having, about
+
+
+HAVING, ABOUT = _windows()
+
+
+def statements(lines: list[str], model: LicenseModel, confirm: float = CONFIRM) -> list[tuple[int, int, str, float, float]]:
+    """(first line, last line, family, probability, template_share) of what a paragraph's lines state."""
+    words = [(w.lower(), k) for k, line in enumerate(lines) for w in WORD.findall(line)]
+    hits: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+    for at in range(len(words) - 1):
+        b = (words[at][0], words[at + 1][0])
+        for t in HAVING.get(b, ()):
+            hits.setdefault(t, []).append((at, b))
+    found = []
+    for t, places in hits.items():
+        family, size, reach = ABOUT[t]
+        i = 0
+        while i < len(places):
+            best: list[tuple[int, tuple[str, str]]] = []
+            stop = i + 1
+            for j in range(i, len(places)):
+                if j > i and (j >= stop or not best):
+                    break
+                own: set = set()
+                last = j
+                for k in range(j, len(places)):
+                    if places[k][0] >= places[j][0] + reach:
+                        break
+                    if places[k][1] not in own:
+                        own.add(places[k][1])
+                        last = k
+                if len(own) >= confirm * size and len(own) > len({b for _, b in best}):
+                    best = places[j : last + 1]
+                    stop = max(stop, last + 1)
+            if not best:
+                i += 1
+                continue
+            while best[0][1] in {b for _, b in best[1:]}:
+                best = best[1:]
+            i = next((k for k in range(i, len(places)) if places[k][0] > best[-1][0]), len(places))
+            first, end = best[0][0], best[-1][0] + 1
+            p = model.over(" ".join(w for w, _ in words[first : end + 1])).get(family)
+            if p is not None:
+                found.append(({at for at, _ in best}, len({b for _, b in best}) / size, family, p, words[first][1], words[end][1]))
+    holding: dict[int, list[int]] = {}
+    for m, o in enumerate(found):
+        for at in o[0]:
+            holding.setdefault(at, []).append(m)
+    out, told = [], set()
+    for n, (at, share, family, p, first, last) in enumerate(found):
+        hidden = any(m != n and at <= found[m][0] and (len(found[m][0]), found[m][1], -m) > (len(at), share, -n) for m in holding[min(at)])
+        own = {(family, k) for k in range(first, last + 1)}
+        if not hidden and not own & told:
+            told |= own
+            out.append((first, last, family, p, share))
+    return sorted(out)
+
+
+def text_rows(text: str, model: LicenseModel, anchored: re.Pattern, confirm: float = CONFIRM) -> list[tuple[int, str, float, float]]:
+    """(line, family, probability, template_share) of a text."""
+    lines = text.split("\n")
+    rows = []
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end].strip():
+            end += 1
+        part = lines[at:end]
+        with_anchor = [k for k, line in enumerate(part) if anchored.search(line)]
+        if with_anchor:
+            single: list[tuple[int, str, float, float]] = []
+            for k in with_anchor:
+                family, p = model.predict(part[k])
+                if family != "unknown":
+                    share = confirmed(part[k], family)[0]
+                    single.append((k, family if share >= confirm else "unknown", p, share))
+            whole = statements(part, model, confirm)
+            covered, named = {k for a, b, *_ in whole for k in range(a, b + 1)}, {(f, k) for k, f, *_ in single}
+            rows += [(at + k, f, p, s) for k, f, p, s in single if f != "unknown" or k not in covered]
+            rows += [(at + a, f, p, s) for a, b, f, p, s in whole if not any((f, k) in named for k in range(a, b + 1))]
+        at = end + 1
+    return sorted(rows)
+
+
 def scan(docs: DataFrame, model: LicenseModel, confirm: float = CONFIRM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, family, probability, template_share): a row for each line that is a licence statement or predicted as one and not confirmed (family ``unknown``)."""
+    """(id, line, family, probability, template_share): a row for each licence statement, at its first line, and for each line predicted as one and not confirmed (family ``unknown``)."""
     anchored = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?![\p{L}\p{N}])"
-    lines = (
-        docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).where(F.col("text").rlike(anchored))
-        .select(id_col, F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).where(F.col("paragraph").rlike(anchored))
-    )
+    python = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?![^\W_])")
+    texts = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).where(F.col("text").rlike(anchored))
     schema = T.StructType([docs.schema[id_col], T.StructField("line", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("template_share", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple[str, float, float] | None] = {}
         for batch in batches:
-            if len(seen) > 100_000:
-                seen.clear()
-            rows = []
-            for i, (line, paragraph) in enumerate(zip(batch["line"], batch["paragraph"], strict=True)):
-                if paragraph not in seen:
-                    family, p = model.predict(paragraph)
-                    share = confirmed(paragraph, family)[0] if family != "unknown" else 0.0
-                    seen[paragraph] = None if family == "unknown" else (family if share >= confirm else "unknown", p, share)
-                if seen[paragraph]:
-                    rows.append((i, line, *seen[paragraph]))
+            rows = [(i, *r) for i, text in enumerate(batch["text"]) for r in text_rows(text, model, python, confirm)]
             out = pd.DataFrame(rows, columns=["i", "line", "family", "probability", "template_share"])
             ids = batch[id_col].iloc[out.pop("i").astype(int)] if rows else batch[id_col].iloc[:0]
             out.insert(0, id_col, ids.array)
             yield out.astype({"line": "int32", "probability": float, "template_share": float})
 
-    return lines.mapInPandas(run, schema)
+    return texts.mapInPandas(run, schema)

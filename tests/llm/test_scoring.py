@@ -131,6 +131,14 @@ def test_license_scan(table):
     assert license_scan.scan(table(docs).where("false"), model).count() == 0
 
 
+def test_license_statements_over_lines(table):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    docs = [(1, "a title\n\n" + mit), (2, gpl), (3, "Licensed under the MIT License or the Apache License, Version 2.0."), (4, "x\nThis library is licensed under the GNU Lesser\nGeneral Public License, version 2.1."), (5, "Released under the MIT License.\n\nplain words")]
+    got = sorted((r["doc_id"], r["line"], r["family"]) for r in license_scan.scan(table(docs), license_scan.fit()).collect())
+    assert got == [(1, 2, "MIT"), (2, 0, "GPL"), (3, 0, "Apache-2.0"), (3, 0, "MIT"), (4, 1, "LGPL"), (5, 0, "MIT")]
+
+
 def test_url_filter(spark):
     urls = ["https://A.Example.NET/en/1?x=1", "http://x.net/en/", "https://example.com/de/1", "https://sub.example.com/de", "https://x.org/fr/2", "https://x.org/en", "ftp://h?p://x", "no scheme", "", None, "https://library.org/", "https://cheap-pills.com/", "https://m.casino-win.com/en/1299/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit(1))
