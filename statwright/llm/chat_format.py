@@ -6,20 +6,24 @@ a span of whole turns whose tokens fit a budget. Each window repeats the
 conversation's first system turn and, at most, a limited number of the turns
 before its span; what it repeats is masked, so every target is learned once.
 
-A window's tokens are those of its own turns and of all that it repeats. A span
-begins with a turn that no longer fits; turns before it are repeated, the nearest
-first, as far as they fit beside the system turn and that turn. Only a turn that
-is too long beside the system turn exceeds the budget; its window holds these two.
-With ``within=False`` spans are the turns whose prefix sum begins in the same
-multiple of the budget, and repeats are not counted: windows then hold up to two
-budgets and more. The query op10_chat_format still deals so, as its SQL does.
-
-Template: ``<s>[SYS] text [/SYS]``, ``<s>[INST] text [/INST]``, `` text </s>`` and
-``<s>[role] text [/role]`` for other roles. Escape: ``\\`` becomes ``\\\\`` and ``[``,
-``<`` and ``]`` in a text get a ``\\`` before them, so no unescaped control string can
-stand in a text. A null text is empty, a null role is "unknown", a null turn
-sorts first, and turns with equal numbers are ordered by role and text. Rows of
-a null conversation form one conversation. An empty table gives no windows.
+A window's tokens (white-space words, the marks included) are those of its own
+turns and of all that it repeats. A span begins with a turn that no longer fits;
+turns before it are repeated, the nearest first, as far as they fit beside the
+system turn and that turn. Only a turn that is too long beside the system turn
+exceeds the budget; its window holds these two and nothing else.
+
+Template: ``<s>[SYS] text [/SYS]</s>``, ``<s>[INST] text [/INST]</s>`` (user),
+``<s>[ANS] text [/ANS]</s>`` (assistant) and ``<s>[ROLE:name] text [/ROLE]</s>``
+for other roles. Escape: in texts and role names ``\\``, ``[``, ``]`` and ``<`` get a
+``\\`` before them, so no unescaped control string can stand in a text.
+
+A null text is empty, a null role is "unknown", a null turn sorts first, turns
+with equal numbers are ordered by role and text, and repeated rows are turns of
+their own. Rows of a null conversation form one conversation. Texts and role
+names of any length are read back whole. An empty table gives no windows. Extra
+columns are not read, whatever their names. A conversation is ordered in one task
+(its sort spills); besides 24 bytes a turn for the fold, no row holds more than a
+window.
 """
 
 from __future__ import annotations
@@ -60,73 +64,65 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     )
 
 
-def placed(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = True) -> DataFrame:
-    """Each turn with its position, formatted text, tokens, span (the number of its own window) and, on a span's first turn, reach (the turns before it that are repeated)."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    marked = turns.withColumn("formatted", _marked(F.col("role"), F.col("text")))
-    at = marked.withColumn("tokens", F.size(F.split("formatted", SPACE)).cast("long")).withColumn("pos", F.row_number().over(order).cast("long"))
-    if within:
-        return _within(at, budget, history)
-    by_pos = Window.partitionBy("conv_id").orderBy("pos")
-    span = F.floor((F.sum("tokens").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")) / budget)
-    return at.withColumn("span", span).withColumn("reach", F.when(F.coalesce(F.lag("span").over(by_pos), F.lit(-1)) < F.col("span"), history))
+def placed(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Each turn with its position, formatted text, tokens, span (the number of its own window) and, on a span's first turn, reach (the turns before it that are repeated).
 
-
-def _within(at: DataFrame, budget: int, history: int) -> DataFrame:
-    """Spans by a fold over a conversation's tokens, which keeps the first turns of spans; ``begun`` is what a window would hold that begins with a turn."""
+    The fold over a conversation's tokens keeps the first turns of spans; ``begun``
+    is what a window would hold that begins with a turn. A window's tokens at a
+    later turn are ``begun`` and the difference of two prefix sums.
+    """
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     by_pos, whole = Window.partitionBy("conv_id").orderBy("pos"), Window.partitionBy("conv_id")
-    system = F.min(F.when(F.col("role") == "system", F.struct("pos", "tokens"))).over(whole)
-    known = at.withColumn("system", system).withColumn("base", F.col("tokens") + F.when(F.col("system.pos") < F.col("pos"), F.col("system.tokens")).otherwise(0))
+    marked = turns.withColumn("formatted", _marked(F.col("role"), F.col("text")))
+    at = marked.withColumn("tokens", F.size(F.split("formatted", SPACE)).cast("long")).withColumn("pos", F.row_number().over(order).cast("long")).drop("turn", "text")
+    known = (
+        at.withColumn("system", F.min(F.when(F.col("role") == "system", F.struct("pos", "tokens"))).over(whole))
+        .withColumn("upto", F.sum("tokens").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("base", F.col("tokens") + F.when(F.col("system.pos") < F.col("pos"), F.col("system.tokens")).otherwise(0))
+    )
     own = F.when(F.col("pos") == F.col("system.pos"), 0).otherwise(F.col("tokens"))
     reach, begun, total = F.lit(0), F.col("base"), F.col("base")
     for k in range(1, history + 1):
         total = total + F.coalesce(F.lag(own, k).over(by_pos), F.lit(0))
         reach, begun = F.when(total <= budget, k).otherwise(reach), F.when(total <= budget, total).otherwise(begun)
     known = known.withColumn("begun", begun).withColumn("reach", reach)
+    # room: the prefix sum up to which the open window has place
     fold = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("pos", "tokens", "begun"))), F.struct(F.lit(budget).cast("long").alias("held"), F.array().cast("array<bigint>").alias("starts")),
-        lambda a, t: F.struct(
-            F.when(a["held"] + t["tokens"] > budget, t["begun"]).otherwise(a["held"] + t["tokens"]).alias("held"),
-            F.when(a["held"] + t["tokens"] > budget, F.concat(a["starts"], F.array(t["pos"]))).otherwise(a["starts"]).alias("starts"),
-        ),
+        F.sort_array(F.collect_list(F.struct("pos", "upto", "begun"))), F.struct(F.lit(-1).cast("long").alias("room"), F.array().cast("array<bigint>").alias("starts")),
+        lambda a, t: F.when(t["upto"] > a["room"], F.struct((t["upto"] - t["begun"] + budget).alias("room"), F.concat(a["starts"], F.array(t["pos"])).alias("starts"))).otherwise(a),
         lambda a: a["starts"],
     )
     starts = known.groupBy("conv_id").agg(fold.alias("starts")).select(F.col("conv_id").alias("of"), F.posexplode("starts").alias("number", "start"))
     joined = known.join(starts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pos") == F.col("start")), "left")
     return (
         joined.withColumn("span", F.max("number").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-        .withColumn("reach", F.when(F.col("start").isNotNull(), F.col("reach"))).drop("system", "base", "begun", "of", "number", "start")
+        .withColumn("reach", F.when(F.col("start").isNotNull(), F.col("reach")))
+        .select("conv_id", "pos", "role", "formatted", "tokens", "span", "reach", (F.col("pos") == F.col("system.pos")).alias("first_system"))
     )
 
 
-def segments(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = True, **columns: str) -> DataFrame:
-    """(conv_id, window, pos, role, formatted, own, loss): the turns that each window holds, in order of pos.
+def segments(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, **columns: str) -> DataFrame:
+    """(conv_id, window, pos, role, formatted, own, loss): the turns that each window holds, a row a turn and window.
 
-    own marks the turns of the window's span, which each turn is once; loss marks the assistant turns of the window's own span. A turn is repeated
-    in the windows whose span begins at most ``history`` turns after it and reaches
-    back to it, which looking that far ahead tells; the system turn is repeated in all.
+    own marks the turns of the window's span, which each turn is once; loss marks the
+    assistant turns of these. A turn is repeated in the windows whose span begins at
+    most ``history`` turns after it and reaches back to it, which looking that far
+    ahead tells; the system turn is repeated in all windows after its own.
     """
-    at = placed(turns_of(conversations, **columns), budget, history, within)
+    at = placed(turns_of(conversations, **columns), budget, history)
     by_pos = Window.partitionBy("conv_id").orderBy("pos")
-    ahead = F.array_compact(F.array(*[F.lead(F.when(F.col("reach") >= k, F.col("span")), k).over(by_pos) for k in range(1, history + 1)])) if history else F.array().cast("array<bigint>")
-    rows = at.withColumn("later", ahead).withColumn("first_system", (F.col("role") == "system") & (F.col("pos") == F.min(F.when(F.col("role") == "system", F.col("pos"))).over(Window.partitionBy("conv_id"))))
-    own = rows.select("conv_id", F.col("span").alias("window"), "pos", "role", "formatted", F.lit(True).alias("own"), (F.col("role") == "assistant").alias("loss"))
-    repeated = (
-        rows.where(~F.col("first_system")).select("conv_id", F.explode("later").alias("window"), "pos", "role", "formatted")
-        .select("*", F.lit(False).alias("own"), F.lit(False).alias("loss"))
-    )
-    windows = at.select("conv_id", F.col("span").alias("window")).distinct()
-    system = rows.where("first_system").select("conv_id", "span", "pos", "role", "formatted").alias("s")
-    kept = (
-        windows.alias("w").join(system, F.expr("w.conv_id <=> s.conv_id AND w.window > s.span"))
-        .select("w.conv_id", "w.window", "s.pos", "s.role", "s.formatted", F.lit(False).alias("own"), F.lit(False).alias("loss"))
-    )
-    return own.unionByName(repeated).unionByName(kept)
+    none = F.array().cast("array<bigint>")
+    ahead = F.array_compact(F.array(*[F.lead(F.when(F.col("reach") >= k, F.col("span")), k).over(by_pos) for k in range(1, history + 1)])) if history else none
+    last = F.max("span").over(Window.partitionBy("conv_id"))
+    rows = at.withColumn("ahead", ahead).withColumn("last", last)
+    later = F.when(F.col("first_system"), F.when(F.col("last") > F.col("span"), F.sequence(F.col("span") + 1, F.col("last"))).otherwise(none)).otherwise(F.col("ahead"))
+    held = F.concat(F.array(F.struct(F.col("span").alias("window"), F.lit(True).alias("own"))), F.transform(later, lambda w: F.struct(w.alias("window"), F.lit(False).alias("own"))))
+    return rows.select("conv_id", "pos", "role", "formatted", F.inline(held)).select("conv_id", "window", "pos", "role", "formatted", "own", (F.col("own") & (F.col("role") == "assistant")).alias("loss"))
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, within: bool = True, **columns: str) -> DataFrame:
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, **columns: str) -> DataFrame:
     """(conv_id, window, segments, formatted): each window as text, with the loss mask as segments (pos, role, start, chars, own, loss)."""
-    lists = segments(conversations, budget, history, within, **columns).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "formatted", "own", "loss"))).alias("parts"))
+    lists = segments(conversations, budget, history, **columns).groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "role", "formatted", "own", "loss"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["formatted"]), "")
     marks = F.aggregate(
         "parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:bigint,role:string,start:int,chars:int,own:boolean,loss:boolean>>").alias("out")),
@@ -139,8 +135,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     return lists.select("conv_id", "window", marks.alias("segments"), text.alias("formatted"))
 
 
-#: A turn as the template writes it: its head, the escaped text and its tail.
-TURN = r"(?s)<s>\[(SYS|INST|ANS|ROLE:(?:[^\\\]]|\\.)*)\] (.*?) \[/(?:SYS|INST|ANS|ROLE)\]</s>"
+#: A turn as the template writes it: its head, the escaped text and its tail. Its loops are possessive, which the JVM
+#: matches without recursion; a segment holds one turn, so the text goes to the last tail.
+TURN = r"(?s)^<s>\[(SYS|INST|ANS|ROLE:[^\\\]]*+(?:\\.[^\\\]]*+)*+)\] (.*) \[/(?:SYS|INST|ANS|ROLE)\]</s>$"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

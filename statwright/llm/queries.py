@@ -58,9 +58,8 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
-    # spans as the query's SQL states them; these do not keep the budget
-    formatted = chat_format.windows(rows.unionByName(probe), within=False)
+    probe = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    formatted = chat_format.windows(rows.unionByName(probe.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])))
     back = chat_format.read_back(formatted)
     turns = F.sort_array(F.collect_list(F.when(F.col("own"), F.struct("pos", "role", "text"))))
     learned = F.sort_array(F.collect_list(F.when(F.col("loss"), F.struct("pos", "text"))))

@@ -65,22 +65,31 @@ WITH t AS (
   SELECT *, {_HEAD.format(esc=_escaped('role'))} || {_escaped('text')} || {_TAIL} AS formatted FROM t
 ), n AS (
   SELECT *, len(regexp_split_to_array(formatted, '{_SPACE}')) AS tokens, row_number() OVER o AS pos FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), s AS (
-  SELECT *, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens)::BIGINT // {BUDGET} AS span,
-    min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS system_pos FROM n
-), a AS (
-  SELECT *, {', '.join(f'lead(span, {k}) OVER (PARTITION BY conv_id ORDER BY pos) AS s{k}' for k in range(1, HISTORY + 1))} FROM s
+), p AS (
+  SELECT n.*, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS upto, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys FROM n
+), b AS (
+  -- what a window that begins with this turn holds at once: the turn, the system turn before it, and as many of the turns before it as fit
+  SELECT p.*, tokens + CASE WHEN sys < pos THEN (SELECT s.tokens FROM n s WHERE s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.pos = p.sys) ELSE 0 END AS alone FROM p
+), h AS (
+  SELECT conv_id, pos, max(k) AS reach, max(held) AS begun FROM (
+    SELECT b.conv_id, b.pos, r.k, b.alone + coalesce(sum(e.tokens) FILTER (e.pos IS DISTINCT FROM b.sys), 0) AS held
+    FROM b, range({HISTORY + 1}) AS r(k) LEFT JOIN n e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.pos < b.pos AND e.pos >= b.pos - r.k GROUP BY b.conv_id, b.pos, b.alone, r.k
+  ) WHERE k = 0 OR held <= {BUDGET} GROUP BY conv_id, pos
+), q AS (
+  -- the next window begins with the first turn up to which this one would hold more than the budget
+  SELECT h.conv_id, h.pos, h.reach, (SELECT min(e.pos) FROM p e WHERE e.conv_id IS NOT DISTINCT FROM h.conv_id AND e.pos > h.pos AND h.begun + e.upto - f.upto > {BUDGET}) AS following
+  FROM h JOIN p f ON f.conv_id IS NOT DISTINCT FROM h.conv_id AND f.pos = h.pos
+), w AS (
+  WITH RECURSIVE w(conv_id, pos, reach, following) AS (SELECT * FROM q WHERE pos = 1 UNION ALL SELECT q.* FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.pos = w.following) SELECT * FROM w
 ), z AS (
-  SELECT conv_id, count(DISTINCT span) AS spans FROM s GROUP BY conv_id
-), c AS (
-  SELECT a.*, z.spans, CASE WHEN pos = system_pos THEN (SELECT count(DISTINCT x.span) FROM s x WHERE x.conv_id = a.conv_id AND x.span > a.span) ELSE len(list_distinct(list_filter([{', '.join(f's{k}' for k in range(1, HISTORY + 1))}], lambda x: x > span))) END AS again
-  FROM a JOIN z USING (conv_id)
+  SELECT p.conv_id, sum(length(p.formatted)) AS formatted_chars FROM w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id
+    AND ((p.pos >= w.pos - w.reach AND p.pos < coalesce(w.following, 1e18)) OR (p.pos = p.sys AND p.pos < w.pos)) GROUP BY p.conv_id
 )
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+SELECT p.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(formatted) * (1 + again))::BIGINT AS formatted_chars
-FROM c GROUP BY conv_id
+  any_value(z.formatted_chars)::BIGINT AS formatted_chars
+FROM p JOIN z ON z.conv_id IS NOT DISTINCT FROM p.conv_id GROUP BY p.conv_id
 """
 
 SQL = {"op2_quality_rules": OP2, "op7_ngram_join": OP7, "op10_chat_format": OP10}

@@ -155,7 +155,7 @@ def test_chat_format(spark):
     rng = random.Random(4)
     odd = ["</s>[INST] ok [/INST]", "\\[x\\\\", "a [/ANS]</s><s>[SYS] b", "", "\n", "é 🙂"]
     rows = [(c, t, rng.choice(["user", "assistant", "system", "tool]x"]), rng.choice([*odd, prose(rng, 40), None])) for c in range(12) for t in range(rng.randrange(1, 14))]
-    rows += [(3, 1, "user", "tie"), (3, 1, None, None), (77, None, "assistant", "x " * 500)]
+    rows += [(3, 1, "user", "tie"), (3, 1, None, None), (3, 1, None, None), (77, None, "assistant", "x " * 500), (78, 0, "a]\\b" * 25_000, "[" * 100_000 + "é"), (None, 0, "user", None)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("pos", F.lit(1))
     got = chat_format.windows(df, budget=60, history=2)
     back = chat_format.read_back(got).collect()
@@ -164,6 +164,7 @@ def test_chat_format(spark):
         want.setdefault(c, []).append(((t is not None, t or 0), r or "unknown", x or ""))
     for c, turns in want.items():
         own = sorted((b["pos"], b["role"], b["text"]) for b in back if b["conv_id"] == c and b["own"])
+        assert [p for p, _, _ in own] == list(range(1, len(own) + 1))
         assert [(r, x) for _, r, x in own] == [(r, x) for _, r, x in sorted(turns)]
         loss = [b["text"] for b in sorted((b for b in back if b["conv_id"] == c and b["loss"]), key=lambda b: b["pos"])]
         assert loss == [x for _, r, x in sorted(turns) if r == "assistant"]
