@@ -48,8 +48,15 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.fit(url_filter.labelled_urls(spark))
-    return url_filter.judge(table(spark, sf_dir, "pages"), model)
+    labelled, _ = url_filter.parted(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.fit(labelled))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL has too: host, path and rule of every url, without the trees."""
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    rule = url_filter.matched_rule(host, path)
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"), rule["rule"].alias("rule"), rule["verdict"].alias("rule_verdict"))
 
 
 #: Both turns of the conversation that the chat query adds; its text looks like the template's own marks.
@@ -74,4 +81,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_decontamination, op4_token_counts, op5_toxicity, op6_sentencepiece, op7_ngram_join, op8_license_scan, op9_url_filter, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_decontamination, op4_token_counts, op5_toxicity, op6_sentencepiece, op7_ngram_join, op8_license_scan, op9_url_filter, op10_chat_format, url_rules)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statwright.llm.chat_format import BUDGET, HISTORY
 from statwright.llm.quality_rules import BASE, CURRENT, POLICIES, RULES
+from statwright.llm.url_filter import RULES as URL_RULES
 
 _BITS = " + ".join(f"CASE WHEN {sql} THEN {1 << bit} ELSE 0 END" for bit, _, sql in RULES)
 
@@ -92,4 +93,18 @@ SELECT p.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10)
 FROM p JOIN z ON z.conv_id IS NOT DISTINCT FROM p.conv_id GROUP BY p.conv_id
 """
 
-SQL = {"op2_quality_rules": OP2, "op7_ngram_join": OP7, "op10_chat_format": OP10}
+_RULES = "(VALUES " + ", ".join(f"('{v}', '{h}', '{p}', {k})" for k, (v, h, p) in enumerate(URL_RULES)) + ") AS r(verdict, host, path, n)"
+
+URLS = f"""
+WITH u AS (
+  SELECT page_id, row_number() OVER () AS rid, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, rid, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), m AS (
+  SELECT s.rid, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), 1000 * length(r.host || r.path) - r.n) AS best
+  FROM s JOIN {_RULES} ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.rid
+)
+SELECT page_id, host, path, best.rule AS rule, best.verdict AS rule_verdict FROM s LEFT JOIN m USING (rid)
+"""
+
+SQL = {"op2_quality_rules": OP2, "op7_ngram_join": OP7, "op10_chat_format": OP10, "url_rules": URLS}

@@ -139,16 +139,59 @@ def test_license_statements_over_lines(table):
     assert got == [(1, 2, "MIT"), (2, 0, "GPL"), (3, 0, "Apache-2.0"), (3, 0, "MIT"), (4, 1, "LGPL"), (5, 0, "MIT")]
 
 
-def test_url_filter(spark):
-    urls = ["https://A.Example.NET/en/1?x=1", "http://x.net/en/", "https://example.com/de/1", "https://sub.example.com/de", "https://x.org/fr/2", "https://x.org/en", "ftp://h?p://x", "no scheme", "", None, "https://library.org/", "https://cheap-pills.com/", "https://m.casino-win.com/en/1299/"]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("host", F.lit(1))
-    model = url_filter.fit(url_filter.labelled_urls(spark))
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, model).collect()}
-    assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[1][2:] == ("net/", "block")
-    assert got[2][2:] == ("example.com/de/", "block") and got[3][2] is None and got[4][2:] == ("org/fr/", "allow")
-    assert got[6][:2] == ("h", "") and got[7][:2] == got[8][:2] == got[9][:2] == ("", "")
-    assert [got[k][3] for k in (10, 11, 12)] == ["allow", "block", "block"]
-    assert url_filter.judge(df.where("false"), model).count() == 0
+URLS = [
+    "https://A.Example.NET/en/1?x=1", "http://x.net/en/", "https://example.com/de/1", "https://sub.example.com/de", "https://x.org/fr/2", "https://x.org/en", "ftp://h?p://x", "no scheme", "", None, "http://x.net",
+    "https://library.org/", "https://cheap-pills.com/", "https://m.casino-win.com/en/1299/", "https://casino.com/", "https://xxx.com/", "https://bad-adult-site.com/", "https://my-city-library.org/",
+    "https://free-software-foundation.org/about", "https://en.wikipedia.org/wiki/Url", "a\nb://C.net/\n/x?#", "https://" + "a1-" * 60_000 + ".org/fr/" + "x/" * 40_000, "x" * 300_000, "https://x.org/fr/2", "://", "https://x.org?a&b&&c=1#?d&e",
+]
+
+
+def brute_url(url, model, rules):
+    """(host, path, rule, verdict) of a url in plain Python."""
+    import math
+    import re
+
+    u = url or ""
+    rest = u.split("://", 1)[1] if "://" in u else ""
+    host = re.match(r"[^/?#]*", rest)[0].translate({k: k + 32 for k in range(65, 91)})
+    path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+    fits = [(len(h + p), -k, h + p, v) for k, (v, h, p) in enumerate(rules) if ("." + host).endswith("." + h) and path.startswith(p)]
+    if fits:
+        return host, path, *max(fits)[2:]
+    labels = [x for x in host.split(".") if x]
+    name = host.rsplit(".", 1)[0] if "." in host else ""
+    gs = {name[k : k + 4] for k in range(len(name) - 3) if re.fullmatch("[a-z]{4}", name[k : k + 4])}
+    ws = [model.gram_odds.get(g, 0.0) for g in sorted(gs)]
+    query = re.search(r"\?([^#]*)", u)
+    x = {
+        "url_chars": len(u), "host_chars": len(host), "depth": sum(p != "" for p in path.split("/")), "digit_ratio": len(re.findall("[0-9]", u)) / max(1, len(u)),
+        "entropy": -sum((n := host.count(c) / len(host)) * math.log2(n) for c in set(host)), "n_params": sum(p != "" for p in query[1].split("&")) if query else 0,
+        "host_labels": len(labels), "hyphens": host.count("-"), "host_digits": len(re.findall("[0-9]", host)), "longest_label": max(map(len, labels), default=0),
+        "suffix_chars": len(host.split(".")[-1]), "suffix_block_rate": model.suffix_rate.get(host.split(".")[-1], 0.5), "gram_odds": sum(ws), "gram_most": max(ws, default=0.0),
+    }
+    row = np.array([[x[f] for f in url_filter.FEATURES]])
+    z = model.prior + sum(trees.apply_tree(t, row)[0] for t in model.trees)
+    return host, path, None, "block" if z >= 0 else "allow"
+
+
+def test_url_filter_equals_brute_force(spark):
+    labelled = url_filter.labelled_urls(spark).cache()
+    train, held = url_filter.parted(labelled)
+    model = url_filter.fit(train)
+    errors = url_filter.held_out_errors(held, model)
+    assert errors["rows"] > 1000 and errors["errors"] < 0.06 and errors["errors"] < 0.6 * errors["best_single_feature"]
+    assert len({f for t in model.trees for n in t if len(n) > 1 for f in [n[0]]}) >= 8
+    df = spark.createDataFrame([*enumerate(URLS), (None, URLS[0])], "url_read bigint, url string").withColumns({"host": F.lit(1), "features_read": F.lit(2)})
+    for rules in (url_filter.RULES, [("allow", "net", "/e"), ("block", "net", "/e"), *url_filter.RULES]):
+        got = url_filter.judge(df, model, rules, id_col="url_read").collect()
+        want = [(*brute_url(u, model, rules), k) for k, u in [*enumerate(URLS), (None, URLS[0])]]
+        assert sorted((r["host"], r["path"], r["rule"] or "", r["verdict"], str(r["url_read"])) for r in got) == sorted((h, p, r or "", v, str(k)) for h, p, r, v, k in want)
+    verdict = {r["url_read"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, model, id_col="url_read").collect()}
+    assert verdict[10][0] is None and verdict[1] == ("net/", "block") and verdict[0] == ("example.net/en/", "allow")
+    assert [verdict[k][1] for k in range(11, 20)] == ["allow", "block", "block", "block", "block", "block", "allow", "allow", "allow"]
+    assert url_filter.judge(df.where("false"), model, id_col="url_read").count() == 0
+    nothing = url_filter.fit(labelled.where("false"))
+    assert url_filter.judge(df, nothing, id_col="url_read").where("rule IS NULL AND block_score <> 0.5").count() == 0
 
 
 def test_chat_format(spark):
