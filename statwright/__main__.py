@@ -8,6 +8,8 @@ import os
 import sys
 from pathlib import Path
 
+from statwright import __version__
+
 
 def home() -> Path:
     """``STATWRIGHT_HOME``, else the user's data folder."""
@@ -30,6 +32,7 @@ def show(value: object) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="statwright", description="Questions of your statement exports, answered locally.")
+    p.add_argument("--version", action="version", version=f"statwright {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     one = sub.add_parser("import", help="import a folder of exports, or one file")
     one.add_argument("path")

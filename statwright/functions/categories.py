@@ -6,7 +6,8 @@ import re
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from statwright.functions.fixed import CATEGORY_RULES, UNCATEGORIZED
@@ -23,6 +24,19 @@ class CategoryRule:
 BUILTIN = [CategoryRule(c, f, p) for c, f, ps in CATEGORY_RULES for p in ps]
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the engine that runs the rules reads a pattern; without a session, whether Python does."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, IllegalArgumentException):
+        return False
+    return True
+
+
 def rules_from(entries: object, source: str = "user") -> list[CategoryRule]:
     """Rules from the entries of a rules file; what is malformed, or no regular expression, is left out."""
     out = []
@@ -32,9 +46,7 @@ def rules_from(entries: object, source: str = "user") -> list[CategoryRule]:
             continue
         field = str(e.get("field", "merchant")).strip().lower()
         for p in e.get("match") or []:
-            try:
-                re.compile(str(p))
-            except re.error:
+            if not compiles(str(p)):
                 continue
             out.append(CategoryRule(name, field if field in ("merchant", "description") else "merchant", str(p), source))
     return out

@@ -40,11 +40,14 @@ def date_plans(rows: DataFrame) -> DataFrame:
     the only reading left; then the one with the tighter span, from four values
     on and if the spans differ by more than 45 days; then the hint; then month first.
     """
-    text = F.col("raw")
-    used = rows.where(F.coalesce(F.trim(text), F.lit("")) != "")
-    tally = used.groupBy("file").agg(
-        F.count("*").alias("n"), F.max("hint").alias("hint"), F.max("explicit").alias("explicit"),
-        *[x for k, (fmt, _, _) in enumerate(DATE_FORMATS) for x in (F.count_if(parsed(text, fmt).isNull()).alias(f"bad{k}"), F.datediff(F.max(parsed(text, fmt)), F.min(parsed(text, fmt))).alias(f"span{k}"))],
+    used = rows.where(F.coalesce(F.trim("raw"), F.lit("")) != "")
+    # a file has few distinct values; each is parsed once under each format
+    values = used.groupBy("file", "raw").agg(F.count("*").alias("times"), F.max("hint").alias("hint"), F.max("explicit").alias("explicit"))
+    read = values.withColumn("read", F.array(*[parsed(F.col("raw"), fmt) for fmt, _, _ in DATE_FORMATS]))
+    day = lambda k: F.get("read", k)
+    tally = read.groupBy("file").agg(
+        F.sum("times").alias("n"), F.max("hint").alias("hint"), F.max("explicit").alias("explicit"),
+        *[x for k in range(len(DATE_FORMATS)) for x in (F.count_if(day(k).isNull()).alias(f"bad{k}"), F.datediff(F.max(day(k)), F.min(day(k))).alias(f"span{k}"))],
     )
 
     def first(flag: bool | None, of) -> Column:

@@ -4,7 +4,9 @@ A ledger has (id, account, posted_on, amount_cents, merchant, category,
 raw_description, country, is_fee, ...); cents are signed, negative is money out.
 Every order before a limit has a unique tie-break, and every limited result
 carries the count that tells whether it was cut: ``matching`` is the number of
-rows before the limit, from a window over the aggregate (not a second scan).
+groups before the limit, summed over the buckets from which the first ones are
+taken (no second scan). Only ``list_transactions``, whose rows are not grouped,
+counts by a scan of its own, which reads the filtered columns.
 """
 
 from __future__ import annotations
@@ -46,14 +48,24 @@ def _in() -> Column:
     return F.sum(F.when(F.expr(RECEIVED), F.col("amount_cents")).otherwise(0))
 
 
-def _top(grouped: DataFrame, limit: int | None, *order: Column) -> DataFrame:
-    """The first rows in an order, each with the number of groups and their whole spending.
+#: Buckets of groups that are ordered apart, so that no task orders all groups.
+BUCKETS = 64
 
-    The totals are one row, so joining them is cheap, and ordering with a limit
-    stays a distributed top-k rather than a sort of all groups in one task.
+
+def _top(grouped: DataFrame, key: str, limit: int | None, order: list[Column], **totals: str) -> DataFrame:
+    """The first rows in an order, each with the number of groups (``matching``) and totals of columns over all groups.
+
+    One pass: each bucket of groups gives its first rows, its count and its totals,
+    and these few rows are ordered and summed again.
     """
-    totals = grouped.agg(F.count("*").alias("matching"), F.sum("spent_cents").alias("all_cents"))
-    return grouped.orderBy(*order).limit(clamp(limit)).join(F.broadcast(totals))
+    n = clamp(limit)
+    sums = {"matching": F.lit(1)} | {name: F.col(c) for name, c in totals.items()}
+    bucket = Window.partitionBy("_bucket")
+    apart = grouped.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS))).withColumn("_nth", F.row_number().over(bucket.orderBy(*order)))
+    apart = apart.withColumns({name: F.sum(c).over(bucket) for name, c in sums.items()}).where(F.col("_nth") <= n)
+    every = Window.partitionBy()
+    whole = apart.withColumns({name: F.sum(F.when(F.col("_nth") == 1, F.col(name))).over(every) for name in sums})
+    return whole.orderBy(*order).limit(n).drop("_bucket", "_nth")
 
 
 def overview(ledger: DataFrame) -> DataFrame:
@@ -74,7 +86,7 @@ def account_activity(accounts: DataFrame, ledger: DataFrame) -> DataFrame:
 def spending_by_category(ledger: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:
     spent = between(ledger, start, end).where(SPENT)
     grouped = spent.groupBy("category").agg(F.sum(-F.col("amount_cents")).alias("spent_cents"), F.count("*").alias("transactions"))
-    top = _top(grouped, limit, F.desc("spent_cents"), F.asc("category"))
+    top = _top(grouped, "category", limit, [F.desc("spent_cents"), F.asc("category")], all_cents="spent_cents")
     return top.select("category", "spent_cents", "transactions", F.round(F.col("spent_cents") / F.col("all_cents") * 100, 1).alias("share"), "matching")
 
 
@@ -87,14 +99,14 @@ def spending_by_merchant(ledger: DataFrame, start=None, end=None, category: str
         F.max_by("category", F.struct("posted_on", "id")).alias("category"), F.sum(-F.col("amount_cents")).alias("spent_cents"),
         F.count("*").alias("transactions"), F.min("posted_on").alias("first"), F.max("posted_on").alias("last"),
     )
-    return _top(grouped, limit, F.desc("spent_cents"), F.asc("merchant")).select("merchant", "category", "spent_cents", "transactions", "first", "last", F.col("matching").alias("total_merchants"))
+    return _top(grouped, "merchant", limit, [F.desc("spent_cents"), F.asc("merchant")]).select("merchant", "category", "spent_cents", "transactions", "first", "last", F.col("matching").alias("total_merchants"))
 
 
 def monthly_summary(ledger: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:
     """Newest month first; the average is over the months returned."""
     month = F.date_format("posted_on", "yyyy-MM").alias("month")
     grouped = between(ledger, start, end).groupBy(month).agg(_out().alias("spent_cents"), _in().alias("received_cents"), F.count("*").alias("transactions"))
-    top = _top(grouped, limit, F.desc("month")).withColumn("net_cents", F.col("received_cents") - F.col("spent_cents"))
+    top = _top(grouped, "month", limit, [F.desc("month")]).withColumn("net_cents", F.col("received_cents") - F.col("spent_cents"))
     return top.withColumn("average_spend", F.round(F.avg("spent_cents").over(Window.partitionBy()) / 100, 2)).select("month", "spent_cents", "received_cents", "net_cents", "transactions", "average_spend", "matching")
 
 
@@ -128,10 +140,9 @@ def compare_periods(ledger: DataFrame, a: tuple, b: tuple, limit: int | None = N
     total = lambda p: F.sum(F.when(within(p), -F.col("amount_cents")).otherwise(0))
     grouped = ledger.where(F.expr(SPENT) & (within(a) | within(b))).groupBy("category").agg(total(a).alias("a_cents"), total(b).alias("b_cents"))
     change = F.col("b_cents") - F.col("a_cents")
-    totals = grouped.agg(F.count("*").alias("matching"), F.sum("a_cents").alias("total_a_cents"), F.sum("b_cents").alias("total_b_cents"))
     percent = F.when(F.col("a_cents") != 0, F.round(change / F.col("a_cents") * 100, 1))
-    top = grouped.withColumn("change_cents", change).withColumn("percent_change", percent).orderBy(F.abs("change_cents").desc(), "category").limit(clamp(limit))
-    return top.join(F.broadcast(totals))
+    changes = grouped.withColumn("change_cents", change).withColumn("percent_change", percent)
+    return _top(changes, "category", limit, [F.abs("change_cents").desc(), F.asc("category")], total_a_cents="a_cents", total_b_cents="b_cents")
 
 
 def spending_by_country(ledger: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:
@@ -139,7 +150,7 @@ def spending_by_country(ledger: DataFrame, start=None, end=None, limit: int | No
     code = F.when(F.col("is_fee"), "__fee__").otherwise(F.coalesce("country", F.lit("")))
     spent = between(ledger, start, end).where(SPENT)
     grouped = spent.groupBy(code.alias("code")).agg(F.sum(-F.col("amount_cents")).alias("spent_cents"), F.count("*").alias("transactions"), F.min("posted_on").alias("first"), F.max("posted_on").alias("last"))
-    top = _top(grouped, limit, F.desc("spent_cents"), F.asc("code"))
+    top = _top(grouped, "code", limit, [F.desc("spent_cents"), F.asc("code")], all_cents="spent_cents")
     return top.select("code", country_label(F.col("code")).alias("country"), "spent_cents", "transactions", "first", "last", F.round(F.col("spent_cents") / F.col("all_cents") * 100, 1).alias("share"), "matching")
 
 

@@ -22,16 +22,30 @@ def credit(gap: Column, period: float, tolerance: float) -> Column:
     return F.when(near(1), 1.0).when(near(2) | near(3), 0.6).otherwise(0.0)
 
 
-def gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gap): days between neighbours of a series, without zeros."""
+def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with gap (days since the one before, null for none or the same day) and late (true for a series' last three); one sort a series."""
     by = Window.partitionBy(*keys).orderBy("day", "ord")
-    return rows.select(*keys, F.datediff("day", F.lag("day").over(by)).alias("gap")).where("gap > 0")
+    gap = F.datediff("day", F.lag("day").over(by))
+    return rows.withColumn("gap", F.when(gap > 0, gap)).withColumn("late", F.lead("ord", 3).over(by).isNull())
+
+
+def _gap_aggregates() -> list[Column]:
+    return [F.count("gap").alias("n_gaps"), F.median("gap").alias("median_gap"), *[F.avg(F.when(F.col("gap").isNotNull(), credit(F.col("gap"), p, t))).alias(f"fit_{name}") for name, p, t in CADENCES]]
+
+
+def _amount_aggregates() -> list[Column]:
+    """What the amounts of a series need, besides three values in constant space."""
+    size, place = F.abs("cents"), F.struct("day", "ord")
+    return [
+        F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.min(size).alias("min_cents"), F.max(size).alias("max_cents"),
+        F.max_by("category", place).alias("category"), F.avg(size).alias("mean"), F.stddev_pop(size).alias("sd"), F.min_by(size.cast("double"), place).alias("x0"), F.max_by(size.cast("double"), place).alias("x1"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("late"), F.struct("day", "ord", size.cast("double").alias("x"))))), lambda s: s["x"]).alias("recent"),
+    ]
 
 
 def gap_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_gaps, median_gap, a credit for each cadence)."""
-    fits = [F.avg(credit(F.col("gap"), p, t)).alias(f"fit_{name}") for name, p, t in CADENCES]
-    return gaps(rows, keys).groupBy(*keys).agg(F.count("*").alias("n_gaps"), F.median("gap").alias("median_gap"), *fits)
+    return _placed(rows, keys).groupBy(*keys).agg(*_gap_aggregates()).where("n_gaps > 0")
 
 
 def best_cadence(stats: DataFrame) -> DataFrame:
@@ -50,29 +64,33 @@ def _spread(xs: Column) -> Column:
     return F.when((mean == 0) | (n < 2), 0.0).otherwise(F.sqrt(var) / mean)
 
 
-def amount_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, first, last, min_cents, max_cents, typical_cents, stability, amount_varies, price_changed, category)."""
-    series = F.sort_array(F.collect_list(F.struct("day", "ord", F.abs("cents").cast("double").alias("x"))))
-    grouped = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.min(F.abs("cents")).alias("min_cents"), F.max(F.abs("cents")).alias("max_cents"),
-        F.max_by("category", F.struct("day", "ord")).alias("category"), F.avg(F.abs("cents")).alias("mean"), F.stddev_pop(F.abs("cents")).alias("sd"),
-        F.transform(series, lambda s: s["x"]).alias("xs"),
-    )
-    recent = F.slice("xs", -F.least(F.size("xs"), F.lit(3)), F.least(F.size("xs"), F.lit(3)))
+AMOUNTS = ["n", "first", "last", "min_cents", "max_cents", "typical_cents", "stability", "amount_varies", "price_changed", "category"]
+
+
+def _amounts(grouped: DataFrame) -> DataFrame:
+    """AMOUNTS from ``_amount_aggregates``, with the other columns kept."""
     middle = lambda r: F.when(F.size(r) % 2 == 1, F.get(F.sort_array(r), F.floor(F.size(r) / 2).cast("int"))).otherwise((F.get(r, 0) + F.get(r, 1)) / 2)
     overall = F.when((F.col("mean") == 0) | (F.col("n") < 2), 0.0).otherwise(F.col("sd") / F.col("mean"))
     stable = F.when(F.col("mean") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), F.least(F.col("overall"), F.col("recent_cv")) / CV_CEILING)))
-    first, last = F.get("xs", 0), F.element_at("xs", -1)
-    changed = F.when((F.col("mean") == 0) | (first == 0), False).otherwise(F.abs(last - first) / first > 0.05)
-    return (
-        grouped.withColumn("overall", overall).withColumn("recent", recent).withColumn("recent_cv", _spread(F.col("recent")))
-        .select(*keys, "n", "first", "last", "min_cents", "max_cents", F.floor(middle(F.col("recent"))).cast("bigint").alias("typical_cents"), stable.alias("stability"), ((F.col("mean") != 0) & (F.col("overall") > 0.10)).alias("amount_varies"), changed.alias("price_changed"), "category")
-    )
+    changed = F.when((F.col("mean") == 0) | (F.col("x0") == 0), False).otherwise(F.abs(F.col("x1") - F.col("x0")) / F.col("x0") > 0.05)
+    told = grouped.withColumn("overall", overall).withColumn("recent_cv", _spread(F.col("recent")))
+    told = told.withColumn("typical_cents", F.floor(middle(F.col("recent"))).cast("bigint")).withColumn("stability", stable).withColumn("amount_varies", (F.col("mean") != 0) & (F.col("overall") > 0.10)).withColumn("price_changed", changed)
+    return told.drop("overall", "recent_cv", "recent", "mean", "sd", "x0", "x1")
+
+
+def amount_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, first, last, min_cents, max_cents, typical_cents, stability, amount_varies, price_changed, category)."""
+    return _amounts(_placed(rows, keys).groupBy(*keys).agg(*_amount_aggregates())).select(*keys, *AMOUNTS)
 
 
 def scored(rows: DataFrame, keys: list[str], as_of: date, min_occurrences: int = 3) -> DataFrame:
-    """Every series with enough rows and some gap, with its scores; ``periodic`` tells whether regularity and coverage suffice."""
-    both = amount_stats(rows, keys).where(F.col("n") >= min_occurrences).join(best_cadence(gap_stats(rows, keys)), keys)
+    """Every series with enough rows and some gap, with its scores; ``periodic`` tells whether regularity and coverage suffice. One pass over the rows."""
+    return _scored(_placed(rows, keys).groupBy(*keys).agg(*_amount_aggregates(), *_gap_aggregates()), keys, as_of, min_occurrences)
+
+
+def _scored(grouped: DataFrame, keys: list[str], as_of: date, min_occurrences: int) -> DataFrame:
+    fits = [f"fit_{n}" for n, _, _ in CADENCES]
+    both = best_cadence(_amounts(grouped.where((F.col("n") >= min_occurrences) & (F.col("n_gaps") > 0)))).select(*keys, *AMOUNTS, "n_gaps", "median_gap", *fits, "regularity", "cadence")
     period = F.col("median_gap")
     coverage = F.least(F.lit(1.0), F.col("n") / (F.datediff("last", "first") / period + 1))
     confidence = 0.40 * F.col("regularity") + 0.25 * F.col("stability") + 0.20 * F.col("coverage") + 0.15 * F.least(F.lit(1.0), (F.col("n") - 2) / 4)
@@ -87,21 +105,29 @@ def scored(rows: DataFrame, keys: list[str], as_of: date, min_occurrences: int =
     )
 
 
-def with_clusters(rows: DataFrame, key: str = "merchant") -> DataFrame:
-    """Numbers the price points of a merchant: in ascending order, an amount over 2 % above its cluster's first one begins the next.
+def price_points(rows: DataFrame, key: str = "merchant") -> DataFrame:
+    """(key, anchors): the first amounts of a merchant's price points, ascending.
 
-    A later amount can only fit the latest cluster, so a fold with one anchor is exact.
+    The distinct amounts of a merchant are folded once; each point spans 2 %, so
+    there are some hundreds of them at most, whatever the number of amounts.
     """
-    amounts = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.abs("cents"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("bigint").alias("anchor"), F.lit(0).alias("cluster"), F.array().cast("array<struct<x:bigint,cluster:int>>").alias("out"))
+    amounts = rows.select(key, F.abs("cents").alias("x")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    start = F.struct(F.lit(0).cast("bigint").alias("anchor"), F.array().cast("array<bigint>").alias("anchors"))
 
     def step(a: Column, x: Column) -> Column:
         same = (a["anchor"] > 0) & ((x - a["anchor"]) / a["anchor"] <= CLUSTER_TOLERANCE)
-        number = F.when(same, a["cluster"]).otherwise(a["cluster"] + 1)
-        return F.struct(F.when(same, a["anchor"]).otherwise(x).alias("anchor"), number.alias("cluster"), F.concat(a["out"], F.array(F.struct(x.alias("x"), number.alias("cluster")))).alias("out"))
+        return F.when(same, a).otherwise(F.struct(x.alias("anchor"), F.concat(a["anchors"], F.array(x)).alias("anchors")))
 
-    points = amounts.select(key, F.explode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("p")).select(key, F.col("p.x").alias("size"), "p.cluster")
-    return rows.withColumn("size", F.abs("cents")).join(points, [key, "size"]).drop("size")
+    return amounts.select(key, F.aggregate("xs", start, step, lambda a: a["anchors"]).alias("anchors"))
+
+
+def with_clusters(rows: DataFrame, key: str = "merchant") -> DataFrame:
+    """Numbers the price points of a merchant: in ascending order, an amount over 2 % above its cluster's first one begins the next.
+
+    A later amount can only fit the latest cluster, so a fold with one anchor is
+    exact, and an amount's cluster is the number of anchors up to it.
+    """
+    return rows.join(price_points(rows, key), key).withColumn("cluster", F.size(F.filter("anchors", lambda a: a <= F.abs(F.col("cents"))))).drop("anchors")
 
 
 def subscriptions(rows: DataFrame, as_of: date, min_occurrences: int = 3, min_confidence: float = 0.55) -> DataFrame:
@@ -110,18 +136,26 @@ def subscriptions(rows: DataFrame, as_of: date, min_occurrences: int = 3, min_co
     Price points are tried if the whole is not accepted or its amounts are
     unstable; they need a real share of the merchant's rows and more regularity.
     Two or more of them replace the whole; one replaces only a whole that is not accepted.
+
+    Each row counts for its merchant (cluster 0) and for its price point; all
+    series are scored in one aggregation, and what to keep is decided by windows
+    over the merchant's scored series.
     """
+    placed = with_clusters(rows)
+    both = placed.withColumn("cluster", F.explode(F.array(F.lit(0), F.col("cluster"))))
+    keys = ["merchant", "cluster"]
+    grouped = _placed(both, keys).groupBy(*keys).agg(*_amount_aggregates(), *_gap_aggregates())
+    of = Window.partitionBy("merchant")
+    grouped = grouped.withColumn("pool", F.max(F.when(F.col("cluster") == 0, F.col("n"))).over(of)).withColumn("clusters", F.max("cluster").over(of))
+    judged = _scored(grouped, [*keys, "pool", "clusters"], as_of, min_occurrences)
+    whole = F.col("cluster") == 0
     accepted = F.col("periodic") & (F.col("confidence") >= min_confidence)
-    whole = scored(rows, ["merchant"], as_of, min_occurrences).withColumn("ok", accepted)
-    pools = rows.groupBy("merchant").agg(F.count("*").alias("pool"))
-    try_split = pools.join(whole.select("merchant", "ok", F.when(F.col("periodic"), F.col("stability")).otherwise(0.0).alias("stable")), "merchant", "left").where(~F.coalesce("ok", F.lit(False)) | (F.coalesce("stable", F.lit(0.0)) < SPLIT_BELOW_STABILITY)).select("merchant", "pool")
-    clustered = with_clusters(rows.join(try_split.select("merchant"), "merchant", "left_semi"))
-    sizes = clustered.groupBy("merchant", "cluster").agg(F.count("*").alias("size"))
-    many = sizes.groupBy("merchant").agg(F.count("*").alias("clusters")).where("clusters >= 2")
-    real = (F.col("size") >= CLUSTER_SHARE * F.col("pool")) | ((F.col("size") >= CLUSTER_LEAST) & (F.col("pool") <= CLUSTER_POOL))
-    tried = sizes.join(many, "merchant").join(try_split, "merchant").where(real).select("merchant", "cluster")
-    split = scored(clustered.join(tried, ["merchant", "cluster"]), ["merchant", "cluster"], as_of, min_occurrences).where(accepted & (F.col("regularity") >= MIN_SPLIT_REGULARITY))
-    found = split.groupBy("merchant").agg(F.count("*").alias("splits"))
-    keep_whole = whole.where("ok").join(found, "merchant", "left").where(F.coalesce("splits", F.lit(0)) < 2).drop("splits", "ok").withColumn("cluster", F.lit(0))
-    keep_split = split.join(found, "merchant").join(whole.where("ok").select("merchant", F.lit(True).alias("whole_ok")), "merchant", "left").where((F.col("splits") >= 2) | F.col("whole_ok").isNull()).drop("splits", "whole_ok")
-    return keep_whole.unionByName(keep_split).orderBy(F.desc("annualized_cents"), "merchant", "cluster")
+    real = (F.col("n") >= CLUSTER_SHARE * F.col("pool")) | ((F.col("n") >= CLUSTER_LEAST) & (F.col("pool") <= CLUSTER_POOL))
+    judged = (
+        judged.withColumn("whole_ok", F.coalesce(F.max(F.when(whole, accepted)).over(of), F.lit(False)))
+        .withColumn("stable", F.coalesce(F.max(F.when(whole & F.col("periodic"), F.col("stability"))).over(of), F.lit(0.0)))
+        .withColumn("split", ~whole & (F.col("clusters") >= 2) & (~F.col("whole_ok") | (F.col("stable") < SPLIT_BELOW_STABILITY)) & real & accepted & (F.col("regularity") >= MIN_SPLIT_REGULARITY))
+        .withColumn("splits", F.sum(F.col("split").cast("int")).over(of))
+    )
+    kept = judged.where((whole & F.col("whole_ok") & (F.col("splits") < 2)) | (F.col("split") & ((F.col("splits") >= 2) | ~F.col("whole_ok"))))
+    return kept.drop("pool", "clusters", "whole_ok", "stable", "split", "splits").orderBy(F.desc("annualized_cents"), "merchant", "cluster")

@@ -7,7 +7,6 @@ gives a single traveller's trips.
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 from statwright.functions.fixed import FEE_DAYS, FEE_TOLERANCE, RATES_TO_COMPARE, SIBLINGS, TRIP_DAYS, TRIP_GAP_DAYS, TRIP_MERCHANTS, TRIP_ROWS
 from statwright.functions.foreign import ambiguous_code, country
 
+#: Merchants that a trip names.
+TOP = 5
 FOREIGN = "(country IS NOT NULL OR original_currency IS NOT NULL)"
 
 
@@ -22,33 +23,67 @@ def size() -> Column:
     return F.abs("amount_cents")
 
 
-def clusters(ledger: DataFrame, scope: str, gap_days: int = TRIP_GAP_DAYS) -> DataFrame:
-    """Foreign rows with ``trip``, a running number within the scope; a longer gap than ``gap_days`` begins another."""
-    by = Window.partitionBy(scope).orderBy("posted_on", "id")
+def trip_days(ledger: DataFrame, scope: str, gap_days: int = TRIP_GAP_DAYS) -> DataFrame:
+    """(scope, posted_on, trip) of the days with foreign rows; a longer gap than ``gap_days`` begins another trip.
+
+    The rows are reduced to distinct days before they meet, so what a window orders
+    is a calendar, however many rows a scope has.
+    """
+    by = Window.partitionBy(scope).orderBy("posted_on")
+    days = ledger.where(FOREIGN).select(scope, "posted_on").distinct()
     opens = F.coalesce(F.datediff("posted_on", F.lag("posted_on").over(by)) > gap_days, F.lit(True)).cast("int")
-    return ledger.where(FOREIGN).withColumn("opens", opens).withColumn("trip", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+    return days.withColumn("opens", opens).withColumn("trip", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
+
+def clusters(ledger: DataFrame, scope: str, gap_days: int = TRIP_GAP_DAYS) -> DataFrame:
+    """Foreign rows with ``trip``, a running number within the scope."""
+    return ledger.where(FOREIGN).join(trip_days(ledger, scope, gap_days), [scope, "posted_on"])
+
+
+def tagged(ledger: DataFrame, scope: str, gap_days: int = TRIP_GAP_DAYS) -> DataFrame:
+    """All rows, foreign or not, on the days from a trip's first to its last one, with (trip, start, end)."""
+    spans = trip_days(ledger, scope, gap_days).groupBy(scope, "trip").agg(F.min("posted_on").alias("start"), F.max("posted_on").alias("end"))
+    return ledger.join(spans.select(scope, "trip", "start", "end", F.explode(F.sequence("start", "end", F.expr("interval 1 day"))).alias("posted_on")), [scope, "posted_on"])
+
+
+def _name() -> Column:
+    return F.when(F.coalesce("merchant", F.lit("")) == "", "Unknown").otherwise(F.col("merchant"))
 
 
 def trips(ledger: DataFrame, scope: str, gap_days: int = TRIP_GAP_DAYS, min_transactions: int = TRIP_ROWS) -> DataFrame:
-    """(scope, trip, start, end, ndays, transactions, countries, currencies, spend_cents, fee_cents, top_merchants), accepted trips only."""
-    rows = clusters(ledger, scope, gap_days)
-    spent = F.when(F.col("amount_cents") < 0, size())
-    rolled = rows.groupBy(scope, "trip").agg(
-        F.min("posted_on").alias("start"), F.max("posted_on").alias("end"), F.count("*").alias("transactions"),
-        F.array_sort(F.collect_set("country")).alias("countries"), F.array_sort(F.collect_set("original_currency")).alias("currencies"),
-        F.coalesce(F.sum(spent), F.lit(0)).alias("spend_cents"), F.countDistinct(F.when(F.col("merchant") != "", F.col("merchant"))).alias("merchants"),
+    """(scope, trip, start, end, ndays, transactions, countries, currencies, spend_cents, fee_cents, top_merchants), accepted trips only.
+
+    Rows are tagged once and summed by merchant, and merchants by trip.
+    """
+    return _rolled(tagged(ledger, scope, gap_days), scope, min_transactions).drop("siblings", "detailed_cents")
+
+
+def _rolled(rows: DataFrame, scope: str, min_transactions: int = TRIP_ROWS) -> DataFrame:
+    """Accepted trips from tagged rows, with siblings and detailed_cents: charges that state their foreign amount."""
+    keys = [scope, "trip", "start", "end"]
+    foreign, spent = F.expr(FOREIGN), F.col("amount_cents") < 0
+    charge = ~F.coalesce("is_fee", F.lit(False)) & spent & F.col("original_currency").isNotNull()
+    total = lambda c: F.sum(F.when(c, size()))
+    by_merchant = rows.groupBy(*keys, _name().alias("merchant_name")).agg(
+        F.count_if(foreign).alias("n"), F.max(foreign & (F.col("merchant") != "")).alias("named"), total(foreign & spent).alias("spent_cents"), F.min(F.when(foreign & spent, F.struct("posted_on", "id"))).alias("seen"),
+        F.collect_set(F.when(foreign, F.col("country"))).alias("countries"), F.collect_set(F.when(foreign, F.col("original_currency"))).alias("currencies"),
+        total(F.col("is_fee")).alias("fee_cents"), F.count_if(charge).alias("siblings"), total(charge).alias("detailed_cents"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("spent_cents"), "seen"))
+    first = F.when((F.col("rank") <= TOP) & F.col("spent_cents").isNotNull(), F.struct("rank", "merchant_name"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    rolled = by_merchant.withColumn("rank", rank).groupBy(*keys).agg(
+        F.sum("n").alias("transactions"), F.count_if("named").alias("merchants"), union("countries"), union("currencies"), F.coalesce(F.sum("spent_cents"), F.lit(0)).alias("spend_cents"),
+        sums("fee_cents"), sums("siblings"), sums("detailed_cents"), F.transform(F.array_sort(F.collect_list(first)), lambda x: x["merchant_name"]).alias("top_merchants"),
     ).withColumn("ndays", F.datediff("end", "start") + 1)
     kept = rolled.where((F.col("transactions") >= min_transactions) & (F.col("merchants") >= TRIP_MERCHANTS) & (F.col("ndays") >= TRIP_DAYS))
-    fees = during(ledger.where("is_fee"), kept, scope).groupBy(scope, "trip").agg(F.sum(size()).alias("fee_cents"))
-    top = top_merchants(rows, scope).groupBy(scope, "trip").agg(F.array_sort(F.collect_list(F.struct("rank", "merchant"))).alias("m"))
-    out = kept.join(fees, [scope, "trip"], "left").join(top, [scope, "trip"], "left")
-    return out.select(scope, "trip", "start", "end", "ndays", "transactions", "countries", "currencies", "spend_cents", F.coalesce("fee_cents", F.lit(0)).alias("fee_cents"), F.coalesce(F.transform("m", lambda x: x["merchant"]), F.array().cast("array<string>")).alias("top_merchants"))
+    return kept.select(*keys, "ndays", "transactions", "countries", "currencies", "spend_cents", "fee_cents", "top_merchants", "siblings", "detailed_cents")
 
 
-def top_merchants(rows: DataFrame, scope: str, n: int = 5) -> DataFrame:
+def top_merchants(rows: DataFrame, scope: str, n: int = TOP) -> DataFrame:
     """(scope, trip, rank, merchant, spent_cents): by spending, of equal ones the earliest."""
-    name = F.when(F.coalesce("merchant", F.lit("")) == "", "Unknown").otherwise(F.col("merchant")).alias("merchant")
-    spent = rows.where("amount_cents < 0").groupBy(scope, "trip", name).agg(F.sum(size()).alias("spent_cents"), F.min(F.struct("posted_on", "id")).alias("seen"))
+    spent = rows.where("amount_cents < 0").groupBy(scope, "trip", _name().alias("merchant")).agg(F.sum(size()).alias("spent_cents"), F.min(F.struct("posted_on", "id")).alias("seen"))
     rank = F.row_number().over(Window.partitionBy(scope, "trip").orderBy(F.desc("spent_cents"), "seen"))
     return spent.withColumn("rank", rank).where(F.col("rank") <= n).select(scope, "trip", "rank", "merchant", "spent_cents")
 
@@ -86,17 +121,17 @@ def suspected_conversions(ledger: DataFrame, scope: str, **options: int) -> Data
 
     Charges of a trip without conversion detail at a foreign place, where three
     or more siblings have theirs. Fees are claimed one by one in the order of the
-    charges, which a fold per trip does; trips lie too far apart to share a fee.
+    charges, which a fold per trip does; trips lie too far apart to share a fee. The
+    fold holds one trip's charges without detail and the fees within three days of each.
     """
     gap_days = options.get("gap_days", TRIP_GAP_DAYS)
     if gap_days < 2 * FEE_DAYS:
         raise ValueError("trips must be further apart than both fee windows")
-    found = trips(ledger, scope, **options)
-    members = during(ledger.where(~F.coalesce("is_fee", F.lit(False)) & (F.col("amount_cents") < 0)), found.select(scope, "trip", "start", "end"), scope).drop("start", "end")
-    detailed = members.where("original_currency IS NOT NULL").groupBy(scope, "trip").agg(F.count("*").alias("siblings"), F.sum(size()).alias("detailed_cents")).where(F.col("siblings") >= SIBLINGS)
-    about = found.select(scope, "trip", "countries", "fee_cents").join(detailed, [scope, "trip"])
+    rows = tagged(ledger, scope, gap_days)
+    about = _rolled(rows, scope, options.get("min_transactions", TRIP_ROWS)).where(F.col("siblings") >= SIBLINGS).select(scope, "trip", "countries", "fee_cents", "siblings", "detailed_cents")
+    undetailed = rows.where(~F.coalesce("is_fee", F.lit(False)) & (F.col("amount_cents") < 0) & F.col("original_currency").isNull())
     name = F.coalesce("raw_description", "merchant", F.lit(""))
-    bare = members.where("original_currency IS NULL").join(about, [scope, "trip"]).withColumn("place", looks_foreign(name, F.col("countries"))).where("place IS NOT NULL")
+    bare = undetailed.drop("start", "end").join(about, [scope, "trip"]).withColumn("place", looks_foreign(name, F.col("countries"))).where("place IS NOT NULL")
     charges = bare.select(scope, "trip", "id", "posted_on", "merchant", size().alias("billed_cents"), F.col("place").alias("country"), "siblings", (F.col("fee_cents") / F.col("detailed_cents")).alias("rate"))
     near = fee_candidates(ledger, charges.select(scope, "id", "posted_on"), scope).withColumnRenamed("charge_id", "id")
     expected = F.col("billed_cents") * F.col("rate")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from statwright.functions import categories, dates, foreign, merchants
 from statwright.functions import money as m
-from statwright.functions.fixed import CADENCES
+from statwright.functions.fixed import CADENCES, CLUSTER_LEAST, CLUSTER_POOL, CLUSTER_SHARE, FEE_DAYS, FEE_TOLERANCE, MIN_SPLIT_REGULARITY, SIBLINGS, SPLIT_BELOW_STABILITY
 from statwright.operators import ledger as lg
 from statwright.operators import questions as q
 from statwright.operators import recurring as rec
@@ -227,9 +227,28 @@ def amount_clusters(spark, d):
     return rows.groupBy("merchant", "cluster").agg(F.count("*").alias("n"), F.min(F.abs("cents")).alias("lo"), F.max(F.abs("cents")).alias("hi"))
 
 
-@query()
+#: The whole merchants and their price points as series named merchant and number, so that the statements above score both.
+POINTS = """xs AS (SELECT merchant, list_sort(list(DISTINCT abs(cents))) AS xs FROM base GROUP BY merchant),
+walk AS (SELECT merchant, xs, 1 AS i, xs[1] AS anchor, 1 AS cluster FROM xs
+  UNION ALL SELECT merchant, xs, i + 1, CASE WHEN anchor > 0 AND (xs[i + 1] - anchor) / anchor <= 0.02 THEN anchor ELSE xs[i + 1] END, CASE WHEN anchor > 0 AND (xs[i + 1] - anchor) / anchor <= 0.02 THEN cluster ELSE cluster + 1 END FROM walk WHERE i < len(xs)),
+series AS (SELECT merchant || '#0' AS merchant, day, ord, cents, category FROM base
+  UNION ALL SELECT s.merchant || '#' || w.cluster, day, ord, cents, category FROM base s JOIN walk w ON w.merchant = s.merchant AND w.xs[w.i] = abs(s.cents))"""
+CHOSEN = f"""named AS (SELECT * EXCLUDE (merchant), split_part(merchant, '#', 1) AS merchant, CAST(split_part(merchant, '#', 2) AS INTEGER) AS cluster, periodic AND confidence >= 0.4 AS accepted FROM scored),
+points AS (SELECT split_part(merchant, '#', 1) AS merchant, count(DISTINCT merchant) - 1 AS points, count(*) / 2 AS pool FROM series GROUP BY 1),
+wholes AS (SELECT p.*, coalesce(w.accepted, false) AS ok, CASE WHEN w.periodic THEN w.stability ELSE 0 END AS stable FROM points p LEFT JOIN named w ON w.merchant = p.merchant AND w.cluster = 0),
+splits AS (SELECT n.*, w.ok FROM named n JOIN wholes w USING (merchant) WHERE n.cluster > 0 AND w.points >= 2 AND (NOT w.ok OR w.stable < {SPLIT_BELOW_STABILITY})
+  AND (n.n >= {CLUSTER_SHARE} * w.pool OR (n.n >= {CLUSTER_LEAST} AND w.pool <= {CLUSTER_POOL})) AND n.accepted AND n.regularity >= {MIN_SPLIT_REGULARITY}),
+found AS (SELECT merchant, count(*) AS splits FROM splits GROUP BY merchant),
+chosen AS (SELECT n.* FROM named n LEFT JOIN found f USING (merchant) WHERE n.cluster = 0 AND n.accepted AND coalesce(f.splits, 0) < 2
+  UNION ALL SELECT s.* EXCLUDE (ok) FROM splits s JOIN found f USING (merchant) WHERE f.splits >= 2 OR NOT s.ok)"""
+
+
+@query(_with(SERIES.replace("series AS", "base AS"), POINTS, GAPS, STATS, BEST, AMOUNTS, SCORED, CHOSEN, body="""SELECT merchant, cluster, cadence, n, first, last, typical_cents, expected_next, CAST(greatest(0, overdue) AS INTEGER) AS days_overdue,
+  CASE WHEN overdue > 1.5 * median_gap THEN 'likely_cancelled' WHEN overdue > 0.5 * median_gap THEN 'overdue' ELSE 'active' END AS status,
+  CAST(round_even(typical_cents * (365.25::DOUBLE / median_gap), 0) AS BIGINT) AS annualized_cents, periodic, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence, amount_varies, price_changed, category FROM chosen"""))
 def subscriptions(spark, d):
-    return rec.subscriptions(series(spark, d), AS_OF, min_confidence=0.4)
+    found = rec.subscriptions(series(spark, d), AS_OF, min_confidence=0.4)
+    return found.select("cluster", "amount_varies", "price_changed", "category", *[F.round(c, 6).alias(c) if c in ("coverage", "confidence") else F.col(c) for c in SCORED_COLUMNS])
 
 
 @query(_with(SERIES, GAPS, STATS, BEST, AMOUNTS, SCORED, body="""SELECT count(*) AS accepted, count(*) FILTER (overdue <= 0.5 * median_gap) AS active,
@@ -282,7 +301,23 @@ def fee_candidates(spark, d):
     return tr.fee_candidates(base, base.where("original_currency IS NULL AND NOT is_fee AND amount_cents < 0").select("scope", "id", "posted_on"), "scope")
 
 
-@query()
+#: Places are codes here; IN and CA are also states, and count only among the trip's countries.
+PLACED = LEDGER.replace("ledger AS", "plain AS") + """, ledger AS (SELECT * REPLACE (CASE WHEN country IS NOT NULL THEN (['BR', 'MX', 'IN', 'CA', 'GB'])[scope % 5 + 1] END AS country) FROM plain)"""
+CONVERTED = f"""members AS (SELECT l.*, t.trip, t.countries FROM ledger l JOIN trips t ON l.scope = t.scope AND l.posted_on BETWEEN t.start AND t."end" WHERE NOT l.is_fee AND l.amount_cents < 0),
+told AS (SELECT scope, trip, count(*) AS siblings, sum(abs(amount_cents)) AS detailed FROM members WHERE original_currency IS NOT NULL GROUP BY scope, trip HAVING count(*) >= {SIBLINGS}),
+fees AS (SELECT t.scope, t.trip, sum(abs(f.amount_cents)) AS fee_cents FROM trips t JOIN ledger f ON f.is_fee AND f.scope = t.scope AND f.posted_on BETWEEN t.start AND t."end" GROUP BY t.scope, t.trip),
+charges AS (SELECT m.scope, m.trip, m.id, m.merchant, m.posted_on, abs(m.amount_cents) AS billed, m.country AS place, d.siblings, coalesce(f.fee_cents, 0) / d.detailed AS rate, row_number() OVER (PARTITION BY m.scope, m.trip ORDER BY m.posted_on, m.id) AS k
+  FROM members m JOIN told d USING (scope, trip) LEFT JOIN fees f USING (scope, trip) WHERE m.original_currency IS NULL AND m.country IS NOT NULL AND (m.country NOT IN ('IN', 'CA') OR list_contains(m.countries, m.country))),
+near AS (SELECT c.scope, c.trip, c.k, list(f.id ORDER BY abs(abs(f.amount_cents) - c.billed * c.rate), f.id) AS candidates FROM charges c
+  JOIN ledger f ON f.is_fee AND f.scope = c.scope AND f.posted_on BETWEEN c.posted_on - {FEE_DAYS} AND c.posted_on + {FEE_DAYS} AND c.rate > 0 AND abs(abs(f.amount_cents) - c.billed * c.rate) <= {FEE_TOLERANCE} * (c.billed * c.rate) GROUP BY c.scope, c.trip, c.k),
+known AS (SELECT c.*, coalesce(n.candidates, []) AS candidates FROM charges c LEFT JOIN near n USING (scope, trip, k)),
+claims AS (SELECT *, list_slice(candidates, 1, 1) AS own, list_slice(candidates, 1, 1) AS taken FROM known WHERE k = 1
+  UNION ALL SELECT c.*, list_slice(list_filter(c.candidates, lambda x: NOT list_contains(w.taken, x)), 1, 1), list_concat(w.taken, list_slice(list_filter(c.candidates, lambda x: NOT list_contains(w.taken, x)), 1, 1))
+  FROM claims w JOIN known c ON c.scope = w.scope AND c.trip = w.trip AND c.k = w.k + 1)"""
+
+
+@query(_with(PLACED, CLUSTERS, TRIPS, CONVERTED, body=f"""SELECT scope, trip, id, merchant, posted_on, billed AS billed_cents, place AS country, len(own) > 0 AS fee_observed, siblings,
+  round(0.6 + CASE WHEN len(own) > 0 THEN 0.25 ELSE 0 END + CASE WHEN siblings >= {2 * SIBLINGS} THEN 0.1 ELSE 0 END, 2)::DOUBLE AS confidence FROM claims"""))
 def suspected_conversions(spark, d):
     codes = F.element_at(F.array(*[F.lit(c) for c in ("BR", "MX", "IN", "CA", "GB")]), (F.col("scope") % 5 + 1).cast("int"))
     placed = ledger(spark, d).withColumn("country", F.when(F.col("country").isNotNull(), codes)).withColumn("raw_description", F.concat(F.col("merchant"), F.lit(" CITY "), F.coalesce("country", F.lit(""))))

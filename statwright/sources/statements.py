@@ -10,6 +10,7 @@ that its section headings state.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from pathlib import PurePosixPath
@@ -27,7 +28,7 @@ from statwright.sources import pages
 from statwright.sources.layout import LayoutError, account_of, data_rows, layout_of
 
 SUFFIXES = "*.{csv,tsv,txt,pdf,CSV,TSV,TXT,PDF}"
-ROWS = "path string, source_file string, file_hash string, account string, source_row int, date string, description string, amount string, debit string, credit string, type string, currency string, has_debit_credit boolean, error string, detail string, directed boolean"
+ROWS = "path string, source_file string, file_hash string, account string, source_row int, date string, description string, amount string, debit string, credit string, type string, currency string, has_debit_credit boolean, error string, detail string, directed boolean, layout string, checks string"
 #: What a line of a PDF has besides.
 LINE = ", page int, line_text string, x0 double, x1 double, top double"
 ROLES = ("date", "description", "amount", "debit", "credit", "type", "currency")
@@ -66,7 +67,11 @@ def load_override(spark: SparkSession, folder: str) -> Override:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, source_file, file_hash, content) of a folder's exports, not of its sub-folders, or of one file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(path)
+    return named(spark.read.format("binaryFile").option("pathGlobFilter", SUFFIXES).load(path))
+
+
+def named(files: DataFrame) -> DataFrame:
+    """The same from binary files (path, content)."""
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("source_file"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
@@ -85,6 +90,7 @@ def read_rows(files: DataFrame, override: Override = Override()) -> DataFrame:
                     continue
                 roles = layout.roles | {r: c for r in ROLES[:5] if (c := getattr(override, f"{r}_column"))}
                 split = {"debit", "credit"} <= roles.keys()
+                base["layout"] = json.dumps({"encoding": layout.encoding, "delimiter": layout.delimiter, "header_row": layout.header_row, "roles": roles}, ensure_ascii=False)
                 out = [base | {"source_row": layout.header_row + 2 + k, "has_debit_credit": split} | {r: row.get(c, "") for r, c in roles.items()} for k, row in enumerate(data_rows(layout, cells))]
                 yield pd.DataFrame(out, columns=names, dtype=object)
 
@@ -110,6 +116,7 @@ def _page_rows(files: DataFrame, override: Override) -> DataFrame:
                 except LayoutError as e:
                     yield pd.DataFrame([base | {"error": str(e)}], columns=names, dtype=object)
                     continue
+                base["layout"] = json.dumps({"kind": "pdf", "ruled": bool(tables)})
                 if grid := pages.ruled(tables):
                     roles = grid[0] | {r: c for r in ROLES[:5] if (c := getattr(override, f"{r}_column"))}
                     out = [base | {"source_row": 2 + k, "has_debit_credit": {"debit", "credit"} <= roles.keys()} | {r: row.get(c, "") for r, c in roles.items()} for k, row in enumerate(grid[1])]
@@ -119,19 +126,47 @@ def _page_rows(files: DataFrame, override: Override) -> DataFrame:
 
     parsed = files.mapInPandas(run, ROWS + LINE)
     own = [c.split()[0] for c in ROWS.split(", ")]
-    of_file = ["path", "source_file", "file_hash", "account"]
+    of_file = ["path", "source_file", "file_hash", "account", "layout"]
     lines = parsed.where("page IS NOT NULL")
-    rows = pages.directed(pages.rows_of(lines.select(F.col("path").alias("file"), "page", F.col("line_text").alias("text"), "x0", "x1", "top")))
+    printed = lines.select(F.col("path").alias("file"), "page", F.col("line_text").alias("text"), "x0", "x1", "top")
+    rows = pages.directed(pages.rows_of(printed))
+    totals = pages.reconciled(printed, rows).where("printed IS NOT NULL")
+    checks = totals.groupBy(F.col("file").alias("path")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("bucket", F.col("printed").cast("double").alias("printed"), F.col("extracted").cast("double").alias("extracted"), "ok")))).alias("checks"))
     stated = F.max(pages.sign_of(F.col("section")).isNotNull()).over(Window.partitionBy("file"))
     found = rows.withColumn("directed", stated).select(
         F.col("file").alias("path"), (F.col("row") + 1).cast("int").alias("source_row"), "date", "description",
         F.when(F.col("directed"), F.col("signed").cast("string")).otherwise(F.col("amount")).alias("amount"), F.lit(False).alias("has_debit_credit"), "detail", "directed",
     )
-    joined = lines.select(of_file).distinct().join(found, "path", "left")
+    joined = lines.select(of_file).distinct().join(found, "path", "left").join(checks, "path", "left")
     error = F.when(F.col("source_row").isNull(), "no rows that begin with a date and end with an amount were found")
     return parsed.where("page IS NULL").select(own).unionByName(joined.withColumn("error", error), allowMissingColumns=True).select(own)
 
 
+def _plans(rows: DataFrame, override: Override) -> DataFrame:
+    """(path, fmt, day_first, confidence, mode, negative_is_outflow) of the files that were read."""
+    good = rows.where("error IS NULL")
+    flag = lambda x, kind: F.lit(x).cast(kind)
+    votes = good.select(F.col("path").alias("file"), F.col("date").alias("raw"), flag(override.day_first, "boolean").alias("hint"), flag(override.date_format, "string").alias("explicit"))
+    signs = good.select(F.col("path").alias("file"), "amount", "type", "has_debit_credit", flag(override.negative_is_outflow, "boolean").alias("override"))
+    both = date_plans(votes).join(m.sign_plans(signs).select("file", "mode", "negative_is_outflow"), "file")
+    return both.select(F.col("file").alias("path"), "fmt", "day_first", "confidence", "mode", "negative_is_outflow")
+
+
+def decisions(rows: DataFrame, override: Override = Override()) -> DataFrame:  # noqa: B008
+    """(path, layout, date_format, day_first, date_confidence, sign_mode, negative_is_outflow): why a file came out as it did."""
+    stated = rows.where("error IS NULL").groupBy("path").agg(F.max("layout").alias("layout"), F.max(F.coalesce("directed", F.lit(False))).alias("stated"))
+    plans = _plans(rows, override).select("path", F.col("fmt").alias("date_format"), "day_first", F.col("confidence").alias("date_confidence"), F.col("mode").alias("sign_mode"), "negative_is_outflow")
+    by_heading = F.col("stated")
+    joined = stated.join(plans, "path", "left").withColumn("sign_mode", F.when(by_heading, "section").otherwise(F.col("sign_mode"))).withColumn("negative_is_outflow", by_heading | F.col("negative_is_outflow"))
+    return joined.drop("stated")
+
+
+def printed_totals(rows: DataFrame) -> dict[str, list[dict]]:
+    """Of each statement with printed totals, these against the sums of its rows; a small list a file."""
+    found = rows.where("checks IS NOT NULL").groupBy("source_file").agg(F.max("checks").alias("checks")).collect()
+    return {r["source_file"]: json.loads(r["checks"]) for r in found}
+
+
 def normalized(rows: DataFrame, override: Override = Override(), rules: list[categories.CategoryRule] = categories.BUILTIN, foreign_detail: str | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """The ledger rows, and (source_file, source_row, error) of what could not be read.
 
@@ -139,10 +174,7 @@ def normalized(rows: DataFrame, override: Override = Override(), rules: list[cat
     or of zero cents are left out without error.
     """
     good = rows.where("error IS NULL")
-    flag = lambda x, kind: F.lit(x).cast(kind)
-    votes = good.select(F.col("path").alias("file"), F.col("date").alias("raw"), flag(override.day_first, "boolean").alias("hint"), flag(override.date_format, "string").alias("explicit"))
-    signs = good.select(F.col("path").alias("file"), "amount", "type", "has_debit_credit", flag(override.negative_is_outflow, "boolean").alias("override"))
-    plans = date_plans(votes).select(F.col("file").alias("path"), "fmt").join(m.sign_plans(signs).select(F.col("file").alias("path"), "mode", "negative_is_outflow"), "path")
+    plans = _plans(rows, override).select("path", "fmt", "mode", "negative_is_outflow")
     home = override.currency or "USD"
     stated = F.coalesce("directed", F.lit(False))
     with_plans = good.join(plans, "path", "left").withColumn("mode", F.when(stated, "signed").otherwise(F.col("mode"))).withColumn("negative_is_outflow", stated | F.col("negative_is_outflow"))

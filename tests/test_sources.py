@@ -92,6 +92,7 @@ def test_import_of_pdf_files(spark, tools, tmp_path, monkeypatch):
 
     monkeypatch.setattr(pages, "read_pdf", fake)
     by = {r["file"]: r for r in tools.import_statements(str(folder))["imported"]}
+    assert [(c["bucket"], c["printed"], c["ok"]) for c in by["card.pdf"]["reconciliation"]] == [("in", 40.0, False), ("out", 30.0, False)] and by["plain.pdf"]["reconciliation"] == []
     assert {f: (r["rows_inserted"], r["error_count"]) for f, r in by.items()} == {"card.pdf": (4, 0), "grid.PDF": (2, 0), "plain.pdf": (2, 0), "empty.pdf": (0, 1), "words.pdf": (0, 1)}
     rows = {(r["source_file"], r["source_row"]): (str(r["posted_on"]), r["raw_description"], r["amount_cents"], r["original_currency"]) for r in tools.store.ledger().collect()}
     assert rows["card.pdf", 2] == ("2026-01-05", "PAYMENT RECEIVED", 4000, None) and rows["card.pdf", 5] == ("2026-01-08", "REFUND SHOP", 200, None)
@@ -111,3 +112,75 @@ def test_watched_folder(spark, tmp_path):
     write(folder, "b.csv", "Date,Description,Amount\n2026-01-06,TEA,-3.50\n")
     watch(spark, str(folder), store, str(tmp_path / "cp")).awaitTermination(120)
     assert store.ledger().count() == 2
+
+
+def test_a_commit_that_stops_halfway_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    write(folder, "a.csv", "Date,Description,Amount\n2026-01-05,COFFEE,-4.50\n")
+    store.import_path(str(folder))
+    with monkeypatch.context() as patch:
+        patch.setattr("statwright.store.json.dumps", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+        with pytest.raises(OSError):
+            store.commit(ledger=store.ledger())
+    assert (store.version(), store.ledger().count(), store.log().count()) == (1, 1, 1)
+    store.commit(ledger=store.ledger())
+    assert (store.version(), store.ledger().count(), store.log().count()) == (2, 2, 1)
+
+
+def test_imports_add_folders_and_join_many(spark, tmp_path, monkeypatch):
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    monkeypatch.setattr("statwright.store.FOLDERS", 2)
+    write(folder, "f.csv", "Date,Description,Amount\n2026-01-01,TEA,-1.50\n")
+    got = store.import_path(str(folder))[0]
+    assert got["plan"]["layout"]["roles"]["amount"] == "Amount" and got["plan"]["date_format"] == "%Y-%m-%d" and got["plan"]["sign_mode"]
+    first = store.folders()
+    store.commit(accounts=spark.createDataFrame([("B", "USD")], "account string, currency string"))
+    assert len(store.folders()["accounts"]) == 2 and store.folders()["accounts"][0] == first["accounts"][0] and store.folders()["ledger"] == first["ledger"]
+    store.commit(accounts=spark.createDataFrame([("C", "USD")], "account string, currency string"))
+    assert len(store.folders()["accounts"]) == 1 and sorted(r["account"] for r in store.accounts().collect()) == ["B", "C", "F"]
+    store.commit(log=store.log())
+    assert store.log().count() == 1 and store.log().where("layout IS NULL").count() == 0
+
+
+def test_rules_that_the_engine_cannot_read_are_left_out(spark):
+    from statwright.functions.categories import rules_from
+
+    found = rules_from({"categories": [{"category": "A", "match": ["(?P<x>a)", "(", "b+"]}]})
+    assert [r.pattern for r in found] == ["b+"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    import statwright.__main__ as cli
+
+    monkeypatch.setenv("STATWRIGHT_HOME", str(tmp_path / "home"))
+    monkeypatch.setattr("statwright.session.local_session", lambda *a, **k: spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder, "card.csv", "Date,Description,Amount\n" + "".join(f"2026-0{k}-05,NETFLIX.COM,-15.99\n2026-0{k}-07,ODD SHOP {k},-{k}.00\n" for k in range(1, 7)))
+    assert cli.main(["import", str(tmp_path / "none")]) == 1 and cli.main(["import", str(folder)]) == 0
+    assert "12 imported, 0 skipped" in capsys.readouterr().out
+    assert cli.main(["status"]) == 0 and '"transaction_count": 12' in capsys.readouterr().out
+    assert cli.main(["subscriptions", "--as-of", "2026-06-20"]) == 0 and "monthly" in capsys.readouterr().out
+    assert cli.main(["categories", "--limit", "3"]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["--version"])
+
+
+def test_trip_and_fee_tools(tools, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    head = "Date,Description,Amount\n"
+    body = "".join(f"2026-09-{12 + k},PLACE {k} SAO PAULO BR {10 + k}.00 BRL,-{4 + k}.00\n2026-09-{13 + k},FOREIGN TRANSACTION FEE,-0.{11 + 2 * k}\n" for k in range(5))
+    write(folder, "card.csv", head + body + "2026-09-15,TOUR SHOP SAO PAULO BR,-8.00\n2026-11-02,HOME STORE,-3.00\n")
+    assert tools.import_statements(str(folder))["total_inserted"] == 12
+    got = tools.find_trips()
+    assert got["count"] == 1 and got["trips"][0]["start"] == "2026-09-12" and got["trips"][0]["countries"] == ["Brazil"]
+    costs = tools.foreign_transaction_costs()
+    assert costs["fee_count"] == 5 and costs["by_currency"]["BRL"]["transactions"] == 5 and costs["suspected_conversion_count"] <= 1
+    assert tools.monthly_summary()["months"][0]["month"] == "2026-11" and tools.get_transactions(merchant="home")["total_matching"] == 1
+    assert tools.spending_by_category()["total_spent"] == tools.overview()["total_out"]
+    assert tools.compare_periods("2026-09-01", "2026-09-30", "2026-11-01", "2026-11-30")["period_b"]["total"] == 3.0
+    assert tools.find_subscriptions(as_of="2026-12-01")["count"] == 0 and tools.suggest_category_rules()["returned"] >= 1
