@@ -12,7 +12,11 @@ merging allows.
 
 A null text is encoded like an empty one, to no ids, and decodes to the empty
 text; a null list of ids decodes to null. Long texts are encoded whole, unit by
-unit. Rows keep their order within a partition, repeated ones included.
+unit; a unit without spaces takes time in proportion to its length. Rows are
+encoded one by one, so repeated rows and null ids keep theirs, in order within a
+partition; of arcs that tie (unigram) the earliest start wins, as in the library.
+An empty table gives an empty result. Extra columns are not read, whatever their
+names; the id column must not be named like a column of the result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -42,16 +45,18 @@ class Encoder:
     def learned(self, units: set[str]) -> dict[str, bytes]:
         """Segments units in the order of their trie."""
         cells, last, out = Forward(self.v), "", {}
+        run, ids = cells.run, cells.ids
         for unit in sorted(units):
             if self.v.kind != UNIGRAM and MARK * 2 in unit:
-                pieces = self.v.merged(unit)  # equal scores merge by place
-            else:
-                same = len(commonprefix((last, unit)))
-                cells.cut(same)
-                for char in unit[same:]:
-                    cells.grow(char)
-                last, pieces = unit, cells.pieces()
-            out[unit] = np.array(self.v.ids_of(pieces), dtype="<i4").tobytes()
+                out[unit] = self.v.coded(self.v.ids_of(self.v.merged(unit)))  # equal scores merge by place
+                continue
+            same = 0
+            for a, b in zip(last, unit):  # noqa: B905
+                if a != b:
+                    break
+                same += 1
+            run(unit, same)
+            last, out[unit] = unit, ids()
         return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:

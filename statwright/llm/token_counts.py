@@ -10,7 +10,9 @@ and ``n_unigram`` reading the pieces and scores as a unigram vocabulary. For a
 unigram model they are equal.
 
 A null or empty text has no tokens; texts of any length are counted whole, unit
-by unit; rows are counted one by one, so repeated rows and ids keep their rows.
+by unit; rows are counted one by one, so repeated rows and ids keep their rows, and
+so do null ids. An empty table gives an empty result. Extra columns are not read,
+whatever their names; the id column must not be named like a column of the result.
 """
 
 from __future__ import annotations

@@ -84,13 +84,15 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (NORMAL, UNUSED)}
         if any(re.search(f"[^{MARK}]{MARK}|\\n", p) for p in self.ids):
             raise ValueError("a piece crosses a unit's end")
+        self.codes = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.unknown = self.types.index(UNKNOWN)
         by_byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
         self.bytes = [by_byte[i] for i in range(256)] if len(by_byte) == 256 else None
         normal = [s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL]
         self.table = [p.replace(MARK, " ").encode() if t in (NORMAL, UNUSED) else bytes([int(p[3:5], 16)]) if t == BYTE else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         self.unknown_score = min(normal, default=0.0) - 10
-        self.longest = max(map(len, self.ids), default=1)
+        #: every end of a piece, and whether it is a piece itself
+        self.tails = {p[k:]: False for p in self.ids for k in range(len(p))} | dict.fromkeys(self.ids, True)
         self.unpaired = lru_cache(maxsize=500_000)(self._unpaired)
 
     def marked(self, text: str) -> str:
@@ -152,6 +154,10 @@ class Vocabulary:
         """Whether merging the text of two pieces ends in just these two."""
         return self.merged(left + right) == ([left, right] if left else [right])
 
+    @staticmethod
+    def coded(ids: list[int]) -> bytes:
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -166,10 +172,11 @@ class Vocabulary:
 
 
 class Forward:
-    """The forward cells of a unit, grown one character at a time and cut back to share a prefix.
+    """The forward cells of a unit, grown to its end and cut back to share a prefix.
 
     ``last[i]`` is the piece that ends the first i characters' path (None: the
-    character is spelled), ``score[i]`` the path's score for unigram models.
+    character is spelled), ``score[i]`` the path's score for unigram models. The unit
+    is kept whole, so a cell costs no more in a long unit than in a short one.
     """
 
     def __init__(self, vocab: Vocabulary):
@@ -177,34 +184,54 @@ class Forward:
         self.last: list[str | None] = [""]
         self.score = [0.0]
 
-    def cut(self, n: int) -> None:
-        del self.last[n + 1 :], self.score[n + 1 :]
-        self.text = self.text[:n]
-
-    def grow(self, char: str) -> None:
-        """The next cell: arcs are tried from the earliest start on."""
-        v, last = self.v, self.last
-        self.text = text = self.text + char
-        end, ids = len(text), v.ids
+    def run(self, unit: str, same: int) -> None:
+        """The cells of ``unit``, whose first ``same`` characters have theirs: arcs are tried from the earliest start on."""
+        v, last, score = self.v, self.last, self.score
+        del last[same + 1 :], score[same + 1 :]
+        self.text = unit
+        ids, tails = v.ids, v.tails
         if v.kind == BPE:
-            for j in range(max(0, end - v.longest), end):
-                if (piece := text[j:]) in ids and v.unpaired(last[j] or "", piece):
-                    last.append(piece)
-                    return
-            last.append(None)
+            unpaired = v.unpaired
+            for end in range(same + 1, len(unit) + 1):
+                found, j = [], end - 1
+                while j >= 0 and (whole := tails.get(piece := unit[j:end])) is not None:
+                    if whole:
+                        found.append(piece)
+                    j -= 1
+                for piece in reversed(found):
+                    if unpaired(last[end - len(piece)] or "", piece):
+                        last.append(piece)
+                        break
+                else:
+                    last.append(None)
             return
-        best, kept = None, None
-        for j in range(max(0, end - v.longest), end):
-            if (piece := text[j:]) in ids and (best is None or self.score[j] + v.scores[ids[piece]] > best):
-                best, kept = self.score[j] + v.scores[ids[piece]], piece
-        if char not in ids and (best is None or self.score[end - 1] + v.unknown_score > best):
-            best, kept = self.score[end - 1] + v.unknown_score, None
-        last.append(kept)
-        self.score.append(best)
-
-    def pieces(self) -> list[str]:
-        out, end = [], len(self.text)
+        for end in range(same + 1, len(unit) + 1):
+            found, j = [], end - 1
+            while j >= 0 and (whole := tails.get(piece := unit[j:end])) is not None:
+                if whole:
+                    found.append(piece)
+                j -= 1
+            best, kept = None, None
+            for piece in reversed(found):
+                s = score[end - len(piece)] + v.scores[ids[piece]]
+                if best is None or s > best:
+                    best, kept = s, piece
+            if unit[end - 1] not in ids and (best is None or score[end - 1] + v.unknown_score > best):
+                best, kept = score[end - 1] + v.unknown_score, None
+            last.append(kept)
+            score.append(best)
+
+    def ids(self) -> bytes:
+        """The ids of the unit's path, as little-endian 32-bit integers."""
+        v, text, last, codes = self.v, self.text, self.last, self.v.codes
+        out, end = [], len(text)
         while end > 0:
-            out.append(self.last[end] or self.text[end - 1])
-            end -= len(out[-1])
-        return out[::-1]
+            piece = last[end]
+            if piece is None:
+                end -= 1
+                out.append(v.coded(v.spelled(text[end])))
+            else:
+                out.append(codes[piece])
+                end -= len(piece)
+        out.reverse()
+        return b"".join(out)

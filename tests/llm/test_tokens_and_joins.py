@@ -32,6 +32,15 @@ def test_bpe_ids_are_the_library_s(data):
         assert "\u2581" in text or own.v.decoded(ids) == text
 
 
+def test_a_long_unit_takes_linear_time(data):
+    import time
+
+    own, unit = sentencepiece.Encoder(data), "".join(random.Random(3).choice("abcdehit9é🙂") for _ in range(400_000))
+    began = time.process_time()
+    ids = np.frombuffer(own.encode_all([unit])[0], "<i4").tolist()
+    assert time.process_time() - began < 20 and own.v.decoded(ids) == unit
+
+
 def brute_unigram(v: Vocabulary, unit: str) -> set[int]:
     """Numbers of pieces of all best segmentations, by trying every one."""
     best, counts = None, set()
