@@ -44,26 +44,41 @@ def bucket_of(key: str | Column, n: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % n
 
 
+def held_out(key: str, n: int, bucket: int) -> Column:
+    """Whether a row is in the held-out split; a null key is not."""
+    return F.coalesce(bucket_of(key, n) == bucket, F.lit(False))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one, but on one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="stages-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def _path(df_or_path: DataFrame | str, spark: SparkSession):
+    path = spark._jvm.org.apache.hadoop.fs.Path(df_or_path if isinstance(df_or_path, str) else df_or_path.stage_path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     It cuts the lineage, survives lost executors, keeps columns prunable and
-    gives the optimizer true sizes, which a checkpoint does not.
+    gives the optimizer true sizes, which a checkpoint does not. A stage that nobody
+    discards goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _path(path, spark)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
     return out
@@ -72,9 +87,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(*stages: DataFrame) -> None:
     """Deletes written stages that nothing reads any more."""
     for df in stages:
-        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        path = jvm.org.apache.hadoop.fs.Path(df.stage_path)
-        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+        fs, path = _path(df, df.sparkSession)
+        fs.delete(path, True)
+
+
+def broadcast_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of a written stage take in memory: 16 a value, and the texts and arrays in them."""
+    of = {"string": lambda c: F.octet_length(c), "array<string>": lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.octet_length(x) + 24)}
+    extra = [F.coalesce(of[k](F.col(c)), F.lit(0)) for c, k in df.dtypes if k in of]
+    one = F.lit(16 * (len(df.columns) + 1))
+    for x in extra:
+        one = one + x
+    return df.agg(F.sum(one.cast("long"))).first()[0] or 0
 
 
 def labelled_sample(labels: DataFrame, label: str, held: int, modulus: int, bound: int, id_col: str = "doc_id") -> DataFrame:

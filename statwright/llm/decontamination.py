@@ -6,15 +6,18 @@ with those of the documents; each hit names a diagonal (where in the document an
 item would begin), and on each diagonal hit once the item's words are compared
 one by one, which tolerates substitutions anywhere.
 
-Everything is column expressions and joins. The benchmark's seeds are broadcast
-only while their counted number is within a bound; else both sides are shuffled
-by hash. The diagonals, which are few, are written and counted, and broadcast
-within a bound to the documents (which so are not shuffled), else joined by id.
-
-Words are lower-cased runs of letters and digits. A null text has no words. Rows
-that share an id count as one document; a row without id is not tested and kept.
-Items of fewer than six words hold no seed and match nothing. Repeated items are
-reported under each of their ids. Empty tables give empty results.
+Everything is column expressions and joins. The diagonals (document, item, place)
+are written; the ids of their documents pick these out of the table, so only
+documents with a hit are moved. What is broadcast, the benchmark's seeds and words
+and those ids, is measured in bytes and within a bound; beyond it both sides are
+shuffled by their key.
+
+Words are lower-cased runs of letters and digits. A null text has no words, a long
+one is searched whole. Rows that share an id count as one document; a row without
+id is not tested and kept. Items of fewer than six words hold no seed and match
+nothing. Repeated items are reported under each of their ids; of an item's
+diagonals in a document the columns tell the best of each, so ties do not matter.
+Empty tables give empty results. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwright.llm.common import staged
+from statwright.llm.common import broadcast_bytes, staged
 
 #: 1: the word counts. Five words each, over spans of six and seven.
 MASKS = ["110111", "111011", "1100111"]
-#: Rows of seeds, and of diagonals, that are broadcast at most (a row is some 40 bytes in memory).
-SEED_BOUND, DIAGONAL_BOUND = 500_000, 500_000
-#: A leak has this share of an item's words in place, or so many of some WINDOW consecutive ones.
-SHARE, WINDOW, IN_WINDOW = 0.6, 20, 16
+#: Bytes in memory that are broadcast at most.
+BOUND = 32 << 20
+#: A leak has this share of an item's words in place, so many of some WINDOW consecutive ones, or so many on end.
+SHARE, WINDOW, IN_WINDOW, ON_END = 0.6, 20, 16, 13
 
 
 def tokens(text: Column) -> Column:
@@ -62,29 +65,32 @@ def _every(ws: Column) -> Column:
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_words, matched, best_window): the leaks, one row a document and item, from its best diagonal."""
+    """(doc_id, item_id, item_words, matched, best_window, best_run): the leaks, one row a document and item."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("ws")).where(F.col("item_id").isNotNull())
     seeds = benchmark_seeds(items)
-    seeds = F.broadcast(seeds) if seeds.count() <= SEED_BOUND else seeds
-    hits = document_seeds(docs).join(seeds, "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
+    hits = document_seeds(docs).join(_bounded(seeds), "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
     hits = staged(hits, "diagonals")
-    few = hits.count() <= DIAGONAL_BOUND
-    placed = hits.join(items, "item_id")
-    found = docs.join(F.broadcast(placed) if few else placed, "doc_id")
-    in_place = F.transform(F.array(tokens(F.col("text"))), lambda own: F.transform(F.col("ws"), lambda w, j: F.when(F.get(own, F.col("diagonal") + j) == w, 1).otherwise(0)))[0]
+    hit_docs = docs.join(_bounded(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("own"))
+    found = hit_docs.join(hits, "doc_id").join(_bounded(items), "item_id")
+    in_place = F.transform("ws", lambda w, j: F.when(F.get("own", F.col("diagonal") + j) == w, 1).otherwise(0))
     sums = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("hit") - WINDOW + 1, F.lit(1))), lambda k: sums(F.slice("hit", k, WINDOW)))
-    judged = found.select("doc_id", "item_id", F.size("ws").alias("item_words"), in_place.alias("hit")).select("doc_id", "item_id", "item_words", sums(F.col("hit")).alias("matched"), F.array_max(windows).alias("best_window"))
-    leak = (F.col("matched") >= share * F.col("item_words")) | (F.col("best_window") >= IN_WINDOW)
-    return (
-        judged.where(leak).groupBy("doc_id", "item_id")
-        .agg(F.max("item_words").cast("long").alias("item_words"), F.max("matched").cast("long").alias("matched"), F.max("best_window").cast("long").alias("best_window"))
+    run = F.aggregate(
+        "hit", F.struct(F.lit(0).alias("now"), F.lit(0).alias("best")),
+        lambda a, x: F.struct(F.when(x == 1, a["now"] + 1).otherwise(0).alias("now"), F.greatest(a["best"], F.when(x == 1, a["now"] + 1).otherwise(0)).alias("best")), lambda a: a["best"],
     )
+    judged = found.select("doc_id", "item_id", F.size("ws").alias("item_words"), in_place.alias("hit")).select("doc_id", "item_id", "item_words", sums(F.col("hit")).alias("matched"), F.array_max(windows).alias("best_window"), run.alias("best_run"))
+    leak = (F.col("matched") >= share * F.col("item_words")) | (F.col("best_window") >= IN_WINDOW) | (F.col("best_run") >= ON_END)
+    return judged.where(leak).groupBy("doc_id", "item_id").agg(*[F.max(c).cast("long").alias(c) for c in ("item_words", "matched", "best_window", "best_run")])
+
+
+def _bounded(side: DataFrame) -> DataFrame:
+    """A join's side, to be broadcast if its measured size is within the bound."""
+    return F.broadcast(side) if broadcast_bytes(side) <= BOUND else side
 
 
 def keep(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` whose document overlaps no item."""
+    """The rows of ``documents`` whose document overlaps no item; all columns stay."""
     leaks = staged(overlaps(documents, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
-    leaks = F.broadcast(leaks) if leaks.count() <= DIAGONAL_BOUND else leaks
-    return documents.join(leaks, id_col, "left_anti")
+    return documents.join(_bounded(leaks), id_col, "left_anti")

@@ -4,9 +4,13 @@ Boosted trees are grown on a bounded labelled sample; every path of them is a
 conjunctive rule; an L1 logistic regression keeps few rules; what it keeps is
 compiled into one column expression, so scoring is a projection without Python.
 
-Null and empty texts have all statistics 0 and are scored like any other;
-rows are scored one by one, so repeated rows and ids each keep their row; an
-empty table gives an empty result; without labels every score is 0.5.
+Null and empty texts have all statistics 0 and are scored like any other; long
+texts are measured whole; a score of one half is predicted 1. Rows are scored one
+by one, so repeated rows and ids each keep their row, and so do null ids. In a fit
+a repeated id counts once, with the least of its statistics, and a repeated label
+with its largest. An empty table gives an empty result; without labels every
+score is 0.5. Extra columns are not read, whatever their names; the id column
+must not be named like a column of the result.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statwright.llm.common import SPACE, labelled_sample, let
+from statwright.llm.common import SPACE, fresh, labelled_sample, let
 from statwright.llm.trees import Rule, fit_boosted, fit_lasso, rule_column, rule_matrix, rules_of
 
 STATISTICS = ["n_words", "mean_word_chars", "symbols_per_word", "exclaims_per_word", "digits_per_word", "upper_share", "distinct_words", "richness", "repeats_last_word", "distinct_lines", "words_per_line"]
@@ -84,12 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held: int =
     documents are read once and only those of the sample are measured.
     """
     chosen = F.broadcast(labelled_sample(labels, label, held, modulus, sample, id_col))
-    rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(chosen, "id").select("id", "y", statistics(F.col("text")).alias("s"))
-        .select("id", "y", *[F.col(f"s.{n}").alias(n) for n in STATISTICS]).collect()
-    )
-    rows = sorted(map(tuple, rows))[: 2 * sample]
+    measured = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "y", statistics(F.col("text")).alias("s"))
+    # one row an id, so at most ``sample`` rows come to the driver
+    rows = measured.groupBy("id", "y").agg(F.min("s").alias("s")).select("id", "y", *[F.col(f"s.{n}").alias(n) for n in STATISTICS]).collect()
+    rows = sorted(map(tuple, rows))
     x = np.array([r[2:] for r in rows], dtype=float).reshape(-1, len(STATISTICS))
     y = np.array([r[1] > 0 for r in rows], dtype=float)
     _, grown = fit_boosted(x, y, trees, depth)
@@ -100,11 +102,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", held: int =
 
 def score(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) a row of ``docs``."""
-    return (
-        docs.select(F.col(id_col).alias(id_col), statistics(F.col(text_col)).alias("s"))
-        .select(id_col, model.column("s").alias("score"))
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    )
+    s = fresh(docs, "statistics")
+    measured = docs.select(F.col(id_col).alias(id_col), statistics(F.col(text_col)).alias(s))
+    return measured.select(id_col, model.column(s).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:

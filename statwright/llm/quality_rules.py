@@ -115,15 +115,15 @@ def apply_policy(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
-    """(rule, failed, only): documents that fail a rule, and those that the policy would keep without it; one aggregation."""
+    """(rule, failed, only): documents that fail a rule, and those that the policy would keep without it.
+
+    The ledger is first counted by its bits, which have few patterns; rules are read off these.
+    """
     mask = POLICIES[version] | BASE
-    bits = F.col("fail_bits")
-    sums = [x for bit, _, _ in RULES for x in (
-        F.sum(bits.bitwiseAND(F.lit(1 << bit)).cast("boolean").cast("long")).alias(f"f{bit}"),
-        F.sum((bits.bitwiseAND(F.lit(mask)) == (1 << bit)).cast("long")).alias(f"o{bit}"),
-    )]
-    packed = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(F.col(f"f{b}"), F.lit(0)).alias("failed"), F.coalesce(F.col(f"o{b}"), F.lit(0)).alias("only")) for b, name, _ in RULES])
-    return book.agg(F.bit_or("fail_bits").alias("any"), *sums).select(F.inline(packed))
+    patterns = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    bits, of = F.col("fail_bits"), lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    rules = [F.struct(F.lit(name).alias("rule"), of(bits.bitwiseAND(F.lit(1 << bit)) != 0).alias("failed"), of(bits.bitwiseAND(F.lit(mask)) == (1 << bit)).alias("only")) for bit, name, _ in RULES]
+    return patterns.agg(F.array(*rules).alias("rules")).select(F.inline("rules"))
 
 
 def keep(docs: DataFrame, version: str = CURRENT, text_col: str = "text") -> DataFrame:

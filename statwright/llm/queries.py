@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statwright.llm import chat_format, decontamination, license_scan, ngram_join, quality_classifier, quality_rules, sentencepiece, token_counts, toxicity, url_filter
-from statwright.llm.common import bucket_of, table
+from statwright.llm.common import held_out, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.score(docs, model)
-    return scored.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

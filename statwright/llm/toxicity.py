@@ -13,8 +13,12 @@ transducers, and counts if the target comes within a few words. A document's sco
 logistic function of its clause scores, fitted on the same sample.
 
 A null or empty text has no clauses. Texts of any length are read whole. Rows
-are scored one by one, so repeated rows and ids keep their rows. An empty table
-gives an empty result; with no labels nothing is learned and scores are low.
+are scored one by one, so repeated rows and ids, and null ids, keep their rows; a
+score of one half is predicted 1. Of a word's stems the heaviest counts, and a
+word of a fixed list is no insult. In a fit a repeated id counts once, with its most toxic text. An empty table gives an
+empty result; with no labels nothing is learned and scores are low. Extra
+columns are not read, whatever their names; the id column must not be named like
+a column of the result.
 """
 
 from __future__ import annotations
@@ -30,17 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from statwright.llm.common import labelled_sample, let, staged
+from statwright.llm.common import fresh, labelled_sample, let, staged
 from statwright.llm.trees import sigmoid
 
-#: Labelled rows that the fit uses at most, and stems that the lexicon keeps at most (a model's size, not the data's).
-SAMPLE, STEMS = 12_000, 400
-#: Shortest and longest stem, least share of the toxic documents (and three at least) that have it, least ratio of its
-#: rates in toxic and other documents, and least log-likelihood ratio, which keeps chance and copies out.
-SHORTEST, LONGEST, SUPPORT, LIFT, EVIDENCE = 4, 10, 0.01, 6.0, 22.0
-
-#: The closed classes of the grammar, in English, German, French and Spanish.
-THREATS = ["kill", "hurt", "destroy", "beat", "burn", "shoot", "töten", "schlagen", "vernichten", "tuer", "frapper", "détruire", "matar", "golpear", "destruir"]
+#: Labelled rows that the fit uses at most.
+SAMPLE = 12_000
+#: A stem is a word's beginning of this many letters at least and at most (of a longer word, its first LONGEST letters
+#: tell); least share of the toxic documents (and three at least) that have it, least ratio of its rates in toxic and
+#: other documents, and least log-likelihood ratio, which keeps chance and copies out.
+SHORTEST, LONGEST, SUPPORT, LIFT, EVIDENCE = 4, 24, 0.01, 6.0, 22.0
+
+#: The closed classes of the grammar, in English, German, French and Spanish. Threats in their inflections.
+THREATS = """kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beaten beating burn burns burned
+burnt burning shoot shoots shot shooting stab stabs stabbed stabbing strangle strangled strangling murder murdered murdering töten töte tötet
+getötet schlagen schlage schlägt geschlagen vernichten vernichte vernichtet umbringen umgebracht tuer tue tué frapper frappe frappé détruire
+détruit matar mato matas mata matado golpear golpeo golpea golpeado destruir destruyo destruye destruido""".split()
 TARGETS = ["you", "your", "you're", "he", "she", "they", "them", "du", "dich", "dir", "ihr", "sie", "tu", "toi", "vous", "ils", "tú", "usted", "ustedes", "ellos"]
 NEGATIONS = ["not", "never", "isn't", "aren't", "don't", "won't", "nicht", "kein", "keine", "niemals", "jamais", "nunca", "jamás"]
 REPORTS = ["said", "says", "wrote", "called", "claimed", "quoted", "sagte", "schrieb", "nannte", "dit", "écrit", "dijo", "escribió", "llamó"]
@@ -176,6 +184,7 @@ class Matcher:
 def learn_stems(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
     """Stems (beginnings of words) with their log odds, from the documents of ``sample`` (columns id, y; bounded).
 
+    Their number is bounded by the sample's: each has its share of the toxic documents.
     Each document counts once for each stem, and near copies, told by the least
     hash of their long words, as one document. A stem gives way to longer ones
     that hold most of its toxic documents at a much higher ratio.
@@ -195,7 +204,7 @@ def learn_stems(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
     evidence = 2 * (term(t, toxic) + term(o, other) + rest(t, toxic) + rest(o, other))
     rows = (
         chosen.select("y", F.explode(stems).alias("stem")).groupBy("stem").agg(F.sum("y").cast("long").alias("t"), F.count("*").alias("c"))
-        .where((F.col("t") >= max(3, SUPPORT * toxic)) & (lift >= LIFT) & (evidence >= EVIDENCE)).orderBy(F.col("t").desc(), "stem").limit(50 * STEMS).collect()
+        .where((F.col("t") >= max(3, SUPPORT * toxic)) & (lift >= LIFT) & (evidence >= EVIDENCE)).collect()
     )
     found = {r["stem"]: (r["t"], (r["t"] / toxic) / ((r["c"] - r["t"] + 0.5) / other)) for r in rows}
     children: dict[str, list[str]] = {}
@@ -209,8 +218,7 @@ def learn_stems(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
         shorter = [kept[s[:k]] for k in range(SHORTEST, len(s)) if s[:k] in kept]
         if not shorter or math.log(ratio) > max(shorter) + math.log(2):
             kept[s] = math.log(ratio)
-    order = sorted(kept, key=lambda s: (-found[s][0] * kept[s], s))[:STEMS]
-    return {s: round(kept[s], 6) for s in sorted(order)}
+    return {s: round(kept[s], 6) for s in sorted(kept)}
 
 
 FEATURES = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType()), T.StructField("c", T.DoubleType())])
@@ -232,8 +240,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held: int = 0,
             out = pd.DataFrame([m.features(t) for t in batch["text"]], columns=["a", "b", "c"], dtype=float)
             yield pd.concat([batch[["id", "y"]].reset_index(drop=True), out], axis=1)
 
-    got = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInPandas(run, f"id {kind}, y int, a double, b double, c double").collect()
-    data = sorted(map(tuple, got))
+    got = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInPandas(run, f"id {kind}, y int, a double, b double, c double")
+    # one row an id, so at most ``sample`` rows come to the driver
+    data = sorted(map(tuple, got.groupBy("id", "y").agg(F.max(F.struct("a", "b", "c")).alias("f")).select("id", "y", "f.*").collect()))
     if not data:
         return ToxicityModel(stems)
     x, y = np.array([r[2:] for r in data], dtype=float), np.array([r[1] for r in data], dtype=float)
@@ -260,14 +269,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) a row of ``docs``."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema, read = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]), fresh(docs, "text_read")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Matcher(model.stems)
         w = np.array(model.weights)
         for batch in batches:
-            x = np.array([m.features(t) for t in batch["text"]], dtype=float).reshape(-1, 3)
+            x = np.array([m.features(t) for t in batch[read]], dtype=float).reshape(-1, 3)
             p = sigmoid(x @ w + model.intercept)
             yield pd.DataFrame({id_col: batch[id_col].array, "score": p, "predicted": (p >= 0.5).astype("int32")})
 
-    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(read)).mapInPandas(run, schema)

@@ -106,6 +106,12 @@ def test_threats_before_their_target():
         assert m.features(text) == (0.0, 0.0, 0.0), text
 
 
+def test_threats_are_inflected():
+    m = toxicity.Matcher({"zorgon": 4.0})
+    for text in ("they were killing you", "you will be beaten", "sie haben dich getötet"):
+        assert m.features(text)[1] > 0, text
+
+
 def test_toxicity(spark, table):
     docs, labels = corpus(3, 400)
     df, lb = table(docs + EDGES), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")

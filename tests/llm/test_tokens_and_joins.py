@@ -176,7 +176,7 @@ def test_least_overlaps_bound_every_link():
                 t = min(ngram_join.threshold(a, percent), ngram_join.threshold(b, percent))
                 assert ka >= a - need + t and kb >= b - need + t
                 assert ma >= ka - t + min(oa, ob) and mb >= kb - t + min(oa, ob)
-                assert share <= t or True
+                assert share <= min(ka, kb)
 
 
 def test_sketch_never_overstates():
@@ -218,9 +218,53 @@ def test_decontamination(table, spark):
     assert decontamination.overlaps(table(docs).where("false"), bench).count() == 0
 
 
+def brute_overlaps(docs, items):
+    """{(doc, item): (item words, matched, best window, best run)} of all leaks, by comparing every diagonal that a mask hits."""
+    import re
+
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    best: dict = {}
+    for d, text in docs:
+        own = words(text)
+        for i, item in items:
+            ws = words(item)
+            for diagonal in range(-len(ws), len(own)) if d is not None and i is not None else ():
+                hit = [int(0 <= diagonal + j < len(own) and own[diagonal + j] == w) for j, w in enumerate(ws)]
+                seeds = any(all(hit[j + k] for k, c in enumerate(mask) if c == "1") for mask in decontamination.MASKS for j in range(len(ws) - len(mask) + 1) if diagonal + j >= 0)
+                window = max(sum(hit[k : k + 20]) for k in range(max(1, len(ws) - 19)))
+                run = max(map(len, "".join(map(str, hit)).split("0")))
+                if seeds and (sum(hit) >= 0.6 * len(ws) or window >= 16 or run >= 13):
+                    best[d, i] = tuple(map(max, best.get((d, i), (0, 0, 0, 0)), (len(ws), sum(hit), window, run)))
+    return best
+
+
+@pytest.mark.parametrize("bound", [32 << 20, -1])
+def test_overlaps_equal_brute_force(table, spark, monkeypatch, bound):
+    monkeypatch.setattr(decontamination, "BOUND", bound)
+    rng = random.Random(12)
+    say = lambda n: [rng.choice(VOCABULARY[:30]) for _ in range(n)]
+    items = [(k, say(n)) for k, n in enumerate((5, 6, 7, 9, 20, 31, 40, 40))] + [(20, []), (None, say(9))]
+    docs = [(0, None), (1, ""), (None, " ".join(items[4][1])), (2, " ".join(say(2500)))]
+    for k in range(40):
+        ws = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(6)):
+            if ws:
+                p = rng.randrange(len(ws))
+                ws[p : p + rng.choice([1, 1, 1, 0, 2])] = [rng.choice(VOCABULARY)]
+        cut = rng.randrange(len(ws) + 1)
+        docs.append((3 + k // 2, " ".join(say(rng.randrange(9)) + ws[cut * (k % 3 == 0) :] + say(5)).title()))  # two rows an id
+    items = [(i, " ".join(ws)) for i, ws in items]
+    items.append((21, items[5][1]))
+    df, bench = table(docs).withColumnsRenamed({"ids": "diagonal", "score": "own"}), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["item_words"], r["matched"], r["best_window"], r["best_run"]) for r in decontamination.overlaps(df, bench).collect()}
+    want = brute_overlaps(docs, items)
+    assert got == want and len(want) > 15
+    leaky = {d for d, _ in want}
+    assert sorted(str(r["doc_id"]) for r in decontamination.keep(df, bench).collect()) == sorted(str(d) for d, _ in docs if d not in leaky)
+
+
 def test_seeds_are_joined_alike_without_broadcast(table, spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "SEED_BOUND", 0)
-    monkeypatch.setattr(decontamination, "DIAGONAL_BOUND", 0)
+    monkeypatch.setattr(decontamination, "BOUND", -1)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
     df = table([(1, "so one two three four nine six seven eight so"), (2, "nothing of it")])
     assert [r["doc_id"] for r in decontamination.overlaps(df, bench).collect()] == [1]
