@@ -5,8 +5,9 @@ blank, for statements that go over several lines or share a line. A sparse logis
 against all for each licence family, is trained on paragraphs that are made by
 rule from the templates below and from ordinary prose. A family's weights are
 kept for n-grams that speak for it; a paragraph without any has just the bias.
-The threshold of each family is calibrated on held-out made paragraphs, so that
-what stays below all is ``unknown``. A prediction counts if the paragraph shares
+The threshold of each family is calibrated on held-out made paragraphs of all
+families and none, between what nearly all others and nearly none of its own
+stay below, so that what stays below all is ``unknown``. A prediction counts if the paragraph shares
 enough word bigrams with a template of the family. In a paragraph these must stand
 within a window of words, whose text is predicted; each family over its threshold
 counts, unless another's matches hold all of its own. A statement is reported at
@@ -14,8 +15,12 @@ the line in which it begins.
 
 Every line of a whole text is looked at: a regular expression of the words that
 all kept n-grams need finds lines that could have a prediction at all; others
-are unknown by construction. A null or empty text has no lines, a repeated line
-is reported at each place, and documents without licence lines give no row.
+are unknown by construction. A null or empty text has no lines, a long text is
+looked at whole, a repeated line is reported at each place and so is a repeated
+row; documents without licence lines give no row, and an empty table none at all.
+Of families with equal excess the first one counts. A null id keeps its rows.
+Extra columns are not read, whatever their names; the id column must not be named
+like a column of the result.
 """
 
 from __future__ import annotations
@@ -31,20 +36,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statwright.llm.common import fresh
 from statwright.llm.trees import sigmoid
 
-#: Short statements of licence families: what notices in documents say, with their usual variants.
+#: Statements of licence families, a paragraph each: what notices in documents and heads of files say, with usual variants.
 TEMPLATES: dict[str, list[str]] = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is distributed under the terms of the Apache License 2.0."],
-    "MIT": ["Released under the MIT License.", "This software is licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GNU GPL, version 2 or later."],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Distributed under the terms of the GNU LGPL, version 3."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "This project is distributed under the terms of the Apache License 2.0.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "MIT": [
+        "Released under the MIT License.", "This software is licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
+    "GPL": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Released under the GNU GPL, version 2 or later.",
+    ],
+    "LGPL": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.", "Distributed under the terms of the GNU LGPL, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.", "Released under the GNU AGPL, version 3.",
+    ],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Released under CC BY-NC-SA 4.0."],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under CC BY-SA 3.0."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Licensed under the BSD License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "CC0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Released under the BSD 3-Clause License.", "Licensed under the BSD License.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
     "Proprietary": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without prior written permission.", "Copyright by the author. All rights reserved."],
 }
+#: SPDX names of the families.
+SPDX = {
+    "Apache-2.0": ["Apache-2.0"], "MIT": ["MIT"], "ISC": ["ISC"], "GPL": ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later"], "LGPL": ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "AGPL": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "CC-BY-NC": ["CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"], "CC-BY": ["CC-BY-4.0", "CC-BY-SA-4.0"], "CC0": ["CC0-1.0"], "BSD": ["BSD-2-Clause", "BSD-3-Clause"], "MPL-2.0": ["MPL-2.0"],
+}
+for _family, _names in SPDX.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {n}" for n in _names]
 #: Sentences that talk of the same words without granting anything, for the unknown class.
 ORDINARY = ["The driver showed her license to the officer at the gate.", "You need a fishing license in this state.", "The software is free of charge for students this week.", "Please read the terms and conditions of sale before you order.", "The general public was invited to the open day.", "This version of the story was published in 2004.", "He was permitted to use the file in the library.", "The commons lies north of the village.", "They released the second version of the record in spring.", "The apache helicopter landed near the river.", "A public foundation paid for the work on the bridge.", "The source of the river is subject to flooding."]
 FILLER = "the of a in and to was that it as on with his for at by which from had not but were all their one out so up her more when about what into them".split()
@@ -54,7 +97,9 @@ WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 #: Least share of the bigrams of the nearest template that a paragraph must have.
 CONFIRM = 0.5
 #: Made paragraphs that a training has, and their longest number of words.
-MADE = 3000
+MADE = 6000
+#: Shares of held-out paragraphs that a threshold lets pass: of others at most, of its own at least.
+OTHERS, OWN_KEPT = 0.002, 0.98
 
 
 def grams(text: str) -> list[str]:
@@ -106,9 +151,9 @@ class LicenseModel:
         return {f: float(p) for f, p, t in zip(self.families, sigmoid(z), self.threshold, strict=True) if p >= t}
 
 
-def _made(rows: int) -> list[tuple[str, int]]:
-    """Paragraphs by rule: templates with words lost, replaced and put around them, and ordinary ones (class -1)."""
-    rng = np.random.default_rng(7)
+def _made(rows: int, seed: int = 7) -> list[tuple[str, int]]:
+    """Paragraphs by rule: templates with words lost, replaced and put around them, the long ones also in part, and ordinary ones (class -1), in turns."""
+    rng = np.random.default_rng(seed)
     families = list(TEMPLATES)
     vocabulary = [w for t in ORDINARY for w in WORD.findall(t.lower())] + FILLER
     out = []
@@ -117,7 +162,11 @@ def _made(rows: int) -> list[tuple[str, int]]:
         if k % 2:
             f = int(rng.integers(len(families)))
             ws = TEMPLATES[families[f]][int(rng.integers(len(TEMPLATES[families[f]])))].split()
-            ws = [w if rng.random() > 0.03 else some(1)[0] for w in ws]
+            if len(ws) > 14 and rng.random() < 0.5:
+                n = int(rng.integers(len(ws) * 3 // 5, len(ws) + 1))
+                at = int(rng.integers(len(ws) - n + 1))
+                ws = ws[at : at + n]
+            ws = [w if rng.random() > 0.03 or len(ws) < 4 else some(1)[0] for w in ws]
             out.append((" ".join(some(int(rng.integers(4))) + ws + some(int(rng.integers(4)))), f))
         else:
             base = ORDINARY[int(rng.integers(len(ORDINARY)))].split() if rng.random() < 0.5 else []
@@ -128,7 +177,8 @@ def _made(rows: int) -> list[tuple[str, int]]:
 def fit(rows: int = MADE, least: int = 8, lasso: float = 3e-4, steps: int = 150) -> LicenseModel:
     """Trains on the driver; three quarters fit the weights, the rest calibrates the thresholds."""
     made = _made(rows)
-    train, rest = [m for i, m in enumerate(made) if i % 4], made[::4]
+    # rows come in turns, one of a family and one ordinary; every fourth pair of rows calibrates
+    train, rest = [m for i, m in enumerate(made) if i // 2 % 4], [m for i, m in enumerate(made) if i // 2 % 4 == 0]
     df = Counter(g for t, _ in train for g in set(grams(t)))
     names = sorted(g for g, n in df.items() if n >= least and any(map(tells, g.split())))
     at = {g: i for i, g in enumerate(names)}
@@ -151,7 +201,12 @@ def fit(rows: int = MADE, least: int = 8, lasso: float = 3e-4, steps: int = 150)
         w = np.maximum(w - step * (x.T @ e) - step * lasso, 0)  # only n-grams that speak for a family
         b = np.minimum(b - step * e.sum(axis=0), -2.0)
     p = sigmoid(hx @ w + b)
-    threshold = [float(max(0.3, (np.max(p[hy != k, k]) + np.min(p[hy == k, k])) / 2 if (hy == k).any() else 0.5)) for k in range(len(TEMPLATES))]
+    threshold = []
+    for k in range(len(TEMPLATES)):
+        own, others = p[hy == k, k], p[hy != k, k]
+        low = float(np.quantile(others, 1 - OTHERS)) if len(others) else 0.5
+        high = float(np.quantile(own, 1 - OWN_KEPT)) if len(own) else 1.0
+        threshold.append(round(min(0.9, max(0.05, (low + high) / 2 if low < high else low)), 4))
     kept = {g: [round(float(v), 6) for v in w[i]] for g, i in at.items() if w[i].max() > 1e-3}
     return LicenseModel(list(TEMPLATES), kept, [float(v) for v in b], threshold)
 
@@ -265,14 +320,15 @@ def scan(docs: DataFrame, model: LicenseModel, confirm: float = CONFIRM, id_col:
     """(id, line, family, probability, template_share): a row for each licence statement, at its first line, and for each line predicted as one and not confirmed (family ``unknown``)."""
     anchored = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?![\p{L}\p{N}])"
     python = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?![^\W_])")
-    texts = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).where(F.col("text").rlike(anchored))
+    read = fresh(docs, "text_read")
+    texts = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(read)).where(F.col(read).rlike(anchored))
     schema = T.StructType([docs.schema[id_col], T.StructField("line", T.IntegerType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("template_share", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, *r) for i, text in enumerate(batch["text"]) for r in text_rows(text, model, python, confirm)]
-            out = pd.DataFrame(rows, columns=["i", "line", "family", "probability", "template_share"])
-            ids = batch[id_col].iloc[out.pop("i").astype(int)] if rows else batch[id_col].iloc[:0]
+            rows = [(i, *r) for i, text in enumerate(batch[read]) for r in text_rows(text, model, python, confirm)]
+            out = pd.DataFrame(rows, columns=["row_number_", "line", "family", "probability", "template_share"])
+            ids = batch[id_col].iloc[out.pop("row_number_").astype(int)] if rows else batch[id_col].iloc[:0]
             out.insert(0, id_col, ids.array)
             yield out.astype({"line": "int32", "probability": float, "template_share": float})
 

@@ -131,12 +131,48 @@ def test_license_scan(table):
     docs = [(1, "x y\nLicensed under the Apache License, Version 2.0.\nz"), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, "the license of the driver was in the library"), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), *EDGES]
     got = sorted((r["doc_id"], r["line"], r["family"]) for r in license_scan.scan(table(docs), model).collect())
     assert got == [(1, 1, "Apache-2.0"), (2, 0, "MIT"), (2, 1, "MIT"), (4, 0, "GPL"), (5, 0, "CC-BY-NC")]
-    rest = [m for m in license_scan._made(4000)[1::40]]
-    right = np.mean([model.predict(t)[0] == list(license_scan.TEMPLATES)[f] for t, f in rest if f >= 0])
-    assert right > 0.9
     assert license_scan.scan(table(docs).where("false"), model).count() == 0
 
 
+#: Notices as files have them; none is a template or a row of the training.
+NOTICES = {
+"MIT":'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:',
+"BSD":'Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.',
+"ISC":'Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.',
+"GPL":'This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.',
+"LGPL":'You should know this library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.',
+"Apache-2.0":' * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0',
+"MPL-2.0":'This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.',
+"AGPL":'modify it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the License',
+ "spdx":'// SPDX-License-Identifier: MIT\n\n# SPDX-License-Identifier: BSD-3-Clause\n\n/* SPDX-License-Identifier: GPL-2.0-or-later */',
+ "none":"The general public was invited. You need a license to drive, version 2.0 of the rules is free software talk.\nDer Mann mit dem Hund kam mit."}
+
+
+def test_license_families_are_told_on_held_out_texts():
+    import re
+
+    model = license_scan.fit()
+    assert len(set(model.threshold)) > 6
+    families, seen = list(license_scan.TEMPLATES), {t for t, _ in license_scan._made(license_scan.MADE)}
+    held = [(t, families[f] if f >= 0 else "unknown") for t, f in license_scan._made(2000, seed=99) if t not in seen]
+
+    def named(text):
+        family, _ = model.predict(text)
+        return family if family != "unknown" and license_scan.confirmed(text, family)[0] >= license_scan.CONFIRM else "unknown"
+
+    told = [(named(t), f) for t, f in held]
+    assert np.mean([a == b for a, b in told]) > 0.97
+    for f in families:
+        assert sum(a == b == f for a, b in told) / sum(b == f for _, b in told) > 0.85, f
+        assert sum(a == b == f for a, b in told) / sum(a == f for a, _ in told) > 0.95, f
+    anchored = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(re.escape(a) for a in model.anchors()) + r")(?![^\W_])")
+    for family, text in NOTICES.items():
+        found = {f for _, f, *_ in license_scan.text_rows(text, model, anchored) if f != "unknown"}
+        assert found == ({"MIT", "BSD", "GPL"} if family == "spdx" else set() if family == "none" else {family}), family
+    long = "plain words of the river\n" * 100_000 + NOTICES["MIT"] + "\nmore words" * 50_000
+    assert [(k, f) for k, f, *_ in license_scan.text_rows(long, model, anchored)] == [(100_000, "MIT")]
+
+
 def test_license_statements_over_lines(table):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
