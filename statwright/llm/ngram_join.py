@@ -8,24 +8,35 @@ none between components may be missed.
 1. Documents with equal sets are one class, kept as its smallest id.
 2. Of each set the smallest hashes are kept, so many that two linked sets must
    share T of these. T-occurrence search asks for the sets that share T tokens
-   with a query's. As in DivideSkip, the T - 1 longest inverted lists of a query
-   are not merged: a set that shares T tokens shares one outside them. Lists are
-   long by their counts over all classes, so the token of a passage that many
-   documents hold is left for probing; only the short lists are merged.
-3. Pairs that meet in a short list are bounded: each shingle flips one bit of a
-   512-bit parity sketch, so the bits that differ never exceed the shingles that
-   differ. Long documents, of which a sketch says little, must meet in many
-   lists instead. What passes is verified: the smaller set is probed into the larger
-   one by binary search until the required overlap is reached or out of reach.
+   with a query's. As in DivideSkip, a query's longest inverted lists are not merged
+   but probed: half of T are set aside (lists are long by their counts over all
+   classes, so these are the tokens of passages that many documents hold), the
+   short ones are merged, and a pair must occur in T less the lists set aside. The
+   merge is the sort of a shuffle by token; the occurrences of a pair are summed.
+3. A pair that meets in a list is bounded before it counts: each shingle flips one
+   bit of a 512-bit parity sketch, so the bits that differ never exceed the shingles
+   that differ. What has the occurrences is verified by probing: the smaller set's
+   tokens, those of the long lists among them, are searched in the larger one by
+   binary search until the required overlap is reached or out of reach. (That a
+   document is in a token's list and that the token is in the document's set are one
+   question; the set is the side that need not be moved for each token.)
 4. To keep large groups of near copies from listing all their pairs, a first,
-   linear pass links documents with leaders of lists by their smallest hashes;
-   its components are found, and the complete search in 2 and 3 then only looks
-   for pairs of different components.
-
-Nothing is capped: every list is searched, long runs in blocks. A null text or
-one without words has the empty set and links with nothing. Rows with one id are
-one document, linked by all their texts; a null id has no component. Extra
-columns are not read.
+   linear pass links documents with neighbours in the lists of their smallest
+   hashes; its components are found, and the complete search in 2 and 3 then only
+   looks for pairs of different components. ``links`` leaves this pass out and gives
+   all pairs of different sets.
+
+Lists are of any length: the linear pass is dealt by ranges of (token, place), so a
+list goes over as many tasks as it needs; in the search a list of more than BLOCK
+rows is cut into blocks, and each two blocks meet in a task of their own. A task
+holds two blocks, or the last rows of a list, at a time.
+
+Nothing is capped. A null text or one without words has the empty set and links
+with nothing; a long one is hashed piece by piece. Rows with one id are one
+document, linked by all their texts, and each gives a row; a null id has no
+component. A pair on the threshold links. An empty table gives an empty result.
+Extra columns are not read, whatever their names; the id column must not be named
+like a column of the result.
 """
 
 from __future__ import annotations
@@ -42,8 +53,8 @@ from statwright.llm.common import discard, staged
 
 #: Bits of a parity sketch, in longs of 64.
 SKETCH = 8
-#: Largest set whose sketch alone is trusted to keep the pairs few.
-SKETCHED = 1000
+#: Rows of an inverted list that are searched in one task, with as many others.
+BLOCK = 1024
 #: Inverted lists beyond this length are long, in levels by powers of four.
 LONG = 64
 #: Smallest hashes by whose lists the linear pass looks for neighbours; each list has an order of its own.
@@ -144,13 +155,12 @@ def sizes(n: int, percent: int) -> tuple[int, int, int]:
     It keeps p - 1 + T hashes (p = n - least_overlap + 1), of which a linked set
     shares T; of these under any order T - 1 may be left aside, so that at least
     one occurrence is in the rest, or T - k for k occurrences. T is the least of
-    all sizes that can link. Long documents ask for half of T, as their sketch
-    says little.
+    all sizes that can link, and k half of it.
     """
     least = least_overlap(n, percent)
     t = min(threshold(m, percent) for m in range(least, 100 * n // percent + 1))
     kept = n - least + threshold(n, percent)
-    k = 1 if n <= SKETCHED else max(1, t // 2)
+    k = max(1, t // 2)
     return kept, min(kept, kept - t + k), k
 
 
@@ -186,9 +196,9 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 class Run:
-    """Columns of rows sorted by token, as arrays: token, id, n, and (in the second pass) k and comp."""
+    """Columns of rows sorted by token, as arrays: token, id, n, and (in the second pass) k, comp and block (-1: met with all, else with other blocks only)."""
 
-    COLUMNS = ("token", "id", "n", "k", "comp")
+    COLUMNS = ("token", "id", "n", "k", "comp", "block")
 
     def __init__(self, batch: pd.DataFrame | None = None):
         self.of = {} if batch is None else {c: batch[c].to_numpy() for c in self.COLUMNS if c in batch}
@@ -227,6 +237,16 @@ def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[Run]:
         yield held
 
 
+def _with_tails(batches: Iterator[pd.DataFrame], reach: int) -> Iterator[tuple[Run, int]]:
+    """The rows again, each portion after the last ``reach`` rows before it, and how many these are."""
+    tail = Run()
+    for batch in batches:
+        if len(batch):
+            both = tail.joined(Run(batch))
+            yield both, len(tail)
+            tail = both.cut(max(0, len(both) - reach), len(both))
+
+
 def most_different(total: np.ndarray, percent: int) -> np.ndarray:
     """The largest symmetric difference of two linked sets whose sizes sum to ``total``."""
     return total - 2 * -(-percent * total // (100 + percent))
@@ -246,11 +266,15 @@ def _may_link(run: Run, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarra
     return ok
 
 
-def neighbours(run: Run, percent: int, reach: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs: each row with the nearest one of the ``reach`` before it, in its token's list, that it may link with. Linear; need not be complete."""
-    token, open_rows = run.of["token"], np.arange(len(run))
+#: Rows of a list before a row among which the linear pass looks.
+REACH = 64
+
+
+def neighbours(run: Run, begin: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs: each row from ``begin`` on with the nearest one of the REACH before it, in its token's list, that it may link with. Linear; need not be complete."""
+    token, open_rows = run.of["token"], np.arange(begin, len(run))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for d in range(1, reach + 1):
+    for d in range(1, REACH + 1):
         open_rows = open_rows[open_rows >= d]
         rows = open_rows[token[open_rows] == token[open_rows - d]]
         ok = _may_link(run, rows - d, rows, percent)
@@ -264,9 +288,10 @@ def meeting(run: Run, percent: int, short: int = 64, block: int = 256) -> Iterat
     """All row pairs of a token's list with different components that may link.
 
     Lists up to ``short`` are compared together, by the distance of their rows;
-    longer ones in blocks of rows sorted by size.
+    longer ones in portions of rows sorted by size.
     """
-    token, comp = run.of["token"], run.of["comp"]
+    token, comp, part = run.of["token"], run.of["comp"], run.of["block"]
+    strangers = lambda i, j: (comp[i] != comp[j]) & ((part[i] < 0) | (part[i] != part[j]))
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes_of = np.diff(np.r_[starts, len(token)])
     rows = np.flatnonzero(np.repeat((sizes_of > 1) & (sizes_of <= short), sizes_of))
@@ -275,7 +300,7 @@ def meeting(run: Run, percent: int, short: int = 64, block: int = 256) -> Iterat
         rows = rows[token[rows] == token[rows + d]]
         if not len(rows):
             break
-        apart = rows[comp[rows] != comp[rows + d]]
+        apart = rows[strangers(rows, rows + d)]
         ok = apart[_may_link(run, apart, apart + d, percent)]
         if len(ok):
             yield ok, ok + d
@@ -285,7 +310,7 @@ def meeting(run: Run, percent: int, short: int = 64, block: int = 256) -> Iterat
             continue
         order = start + np.argsort(run.of["n"][start : start + size], kind="stable")
         n = run.of["n"][order]
-        sk, comps = run.sketch[order], comp[order]
+        sk, comps, parts = run.sketch[order], comp[order], part[order]
         for lo in range(0, size, block):
             hi = min(lo + block, size)
             last = int(np.searchsorted(n, 100 * n[hi - 1] // percent, side="right"))
@@ -295,6 +320,7 @@ def meeting(run: Run, percent: int, short: int = 64, block: int = 256) -> Iterat
                 for k in range(SKETCH):
                     d += np.bitwise_count(sk[lo:hi, None, k] ^ sk[None, at:to, k])
                 ok = (d <= most_different(n[lo:hi, None] + n[None, at:to], percent)) & (comps[lo:hi, None] != comps[None, at:to])
+                ok &= (parts[lo:hi, None] < 0) | (parts[lo:hi, None] != parts[None, at:to])
                 i, j = np.nonzero(ok)
                 up = i + lo < j + at
                 if up.any():
@@ -385,10 +411,8 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def components(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) a row of ``documents``."""
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
+def _features(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents (id, text): members (id, n, rep), the features of the representatives of equal sets, and the links (a, b) between an id's own texts."""
     feats = staged(features(docs, n, percent), "features")
     some = feats.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
@@ -398,52 +422,97 @@ def components(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str
     copies = staged(named.where("NOT stands").select("id"), "copies")
     reps = some.join(F.broadcast(copies) if copies.count() <= ID_BOUND else copies, "id", "left_anti")
     same = members.join(named.where("lo <> hi").select("id"), "id").where("rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    known = docs.where("id IS NOT NULL")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return members, reps, same
+
+
+def _ordered() -> list:
+    return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+
+def _near(reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the linear pass, written."""
+    kind = reps.schema["id"].dataType.simpleString()
 
     def led(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for run in _whole_runs(batches):
-            i, j = neighbours(run, percent)
+        for run, begin in _with_tails(batches, REACH):
+            i, j = neighbours(run, begin, percent)
             yield pd.DataFrame({"a": run.of["id"][i], "b": run.of["id"][j]})
 
-    by_token = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
-    first = by_token(reps.select(F.explode(F.slice("least", 1, KEYS)).alias("token"), "id", "n", "sketch"), F.xxhash64("id", "token")).mapInPandas(led, f"a {kind}, b {kind}")
-    first = staged(first.where("a <> b").select(*pair).distinct(), "led")
-    edges = staged(verified(first, known, n, percent).union(same), "edges")
-    labels = connected(edges)
+    # each list has an order of its own; ranges split a list where one task would hold too much of it
+    lists = reps.select(F.explode(F.slice("least", 1, KEYS)).alias("token"), "id", "n", "sketch").withColumn("place", F.xxhash64("id", "token"))
+    first = lists.repartitionByRange("token", "place").sortWithinPartitions("token", "place").mapInPandas(led, f"a {kind}, b {kind}")
+    return staged(first.where("a <> b").select(*_ordered()).distinct(), "led")
+
 
+def _search(reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components (``labels``: id, comp; others are their own) that have the occurrences, written."""
+    kind = reps.schema["id"].dataType.simpleString()
     tokens = reps.select("id", F.posexplode("least").alias("pos", "token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     shared = tokens.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "c"))).alias("shared"))
     # the kept hashes in order, but for long lists, which go last, the longer the later; a place in this order needs the shared ones only
     is_long = lambda x: x["c"] > LONG
     level = lambda x: F.ceil(F.log2(x["c"] / LONG) / 2)
-    longs = F.sort_array(F.transform(F.filter("shared", is_long), lambda x: F.struct(level(x).alias("level"), x["pos"].alias("pos"), x["token"].alias("token"))))
+    longs = F.sort_array(F.transform(F.filter("shared", is_long), lambda x: F.struct(level(x).alias("level"), x["pos"].alias("pos"), x["token"].alias("token"), x["c"].alias("c"))))
     short = F.filter("shared", lambda x: ~is_long(x))
     before = lambda x: F.size(F.filter("longs", lambda y: y["pos"] < x["pos"]))
     short_merged = F.filter(short, lambda x: x["pos"] - before(x) < F.col("merged"))
     room = F.greatest(F.col("merged") - (F.col("kept") - F.size("longs")), F.lit(0))
-    lists = F.concat(F.transform(short_merged, lambda x: x["token"]), F.transform(F.slice("longs", F.lit(1), room), lambda y: y["token"]))
+    listed = lambda x: F.struct(x["token"].alias("token"), F.ceil(x["c"] / BLOCK).cast("int").alias("blocks"))
+    lists = F.concat(F.transform(short_merged, listed), F.transform(F.slice("longs", F.lit(1), room), listed))
     sketches = reps.select("id", "n", "k", "merged", F.size("least").alias("kept"), "sketch")
     posted = (
         shared.withColumn("longs", longs).join(sketches, "id").join(labels, "id", "left")
-        .select(F.explode(lists).alias("token"), "id", "n", "k", "sketch", F.coalesce("comp", "id").alias("comp"))
+        .select(F.inline(lists), "id", "n", "k", "sketch", F.coalesce("comp", "id").alias("comp"))
     )
+    # a row of a list of several blocks goes to the cells of its own block with each block
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.xxhash64("token", F.least(x, F.col("own")), F.greatest(x, F.col("own"))).alias("token"), F.when(x == F.col("own"), -1).otherwise(F.col("own")).alias("block")))
+    one = F.array(F.struct(F.col("token"), F.lit(-1).alias("block")))
+    dealt = posted.withColumn("own", own).select(F.inline(F.when(F.col("blocks") > 1, cells).otherwise(one)).alias("token", "block"), "id", "n", "k", "sketch", "comp")
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in _whole_runs(batches):
             for i, j in meeting(run, percent):
                 yield pd.DataFrame({"a": run.of["id"][i], "b": run.of["id"][j], "k": np.minimum(run.of["k"][i], run.of["k"][j])})
 
-    second = by_token(posted).mapInPandas(met, f"a {kind}, b {kind}, k int")
-    second = second.where("a <> b").select(*pair, "k").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k")
-    second = staged(second.select("a", "b"), "met")
-    labels = connected(staged(edges.union(verified(second, known, n, percent)), "edges"))
+    found = dealt.repartition("token").sortWithinPartitions("token").mapInPandas(met, f"a {kind}, b {kind}, k int")
+    found = found.where("a <> b").select(*_ordered(), "k").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k")
+    return staged(found.select("a", "b"), "met")
+
+
+def components(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) a row of ``documents``."""
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = docs.where("id IS NOT NULL")
+    members, reps, same = _features(docs, n, percent)
+    near = _near(reps, percent)
+    sure = verified(near, known, n, percent)
+    edges = staged(sure.union(same), "edges")
+    labels = connected(edges)
+    met = _search(reps, labels, percent)
+    rest = verified(met, known, n, percent)
+    whole = staged(edges.union(rest), "edges")
+    labels = connected(whole)
+    discard(near, sure, edges, met, rest, whole)
     labels = labels.select(F.col("id").alias("rep"), "comp")
     out = members.join(labels, "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
 
 
+def links(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: membership (doc_id, rep), and pairs (a, b) of representatives of different sets that link.
+
+    Copies are not expanded. Work and result are in proportion to the links, of which
+    a group of N near copies has up to N * N / 2; where only the groups are asked
+    for, ``components`` does with N. Rows that share an id need ``components``, too.
+    """
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    members, reps, _ = _features(docs, n, percent)
+    alone = reps.select("id", F.col("id").alias("comp"))
+    return members.select(F.col("id").alias(id_col), "rep"), verified(_search(reps, alone, percent), docs.where("id IS NOT NULL"), n, percent)
+
+
 def keep(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the least id; rows without words, and rows without id, all stay."""
     gone = staged(components(documents, n, percent, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "copies")

@@ -142,17 +142,33 @@ def brute_components(docs, n, percent):
     return sorted((d if d is not None else -1, len(s), root(d) if d is not None else -1) for (d, _), s in zip(docs, sets, strict=True))
 
 
-@pytest.mark.parametrize(("n", "percent", "sketched", "long"), [(3, 90, 1000, 64), (5, 80, 20, 2)])  # the second forces long lists, counts and label rounds
-def test_components(table, monkeypatch, n, percent, sketched, long):
-    monkeypatch.setattr(ngram_join, "SKETCHED", sketched)
+@pytest.mark.parametrize(("n", "percent", "block", "long"), [(3, 90, 1024, 64), (5, 80, 2, 2)])  # the second forces long lists, blocks and label rounds
+def test_components(table, monkeypatch, n, percent, block, long):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "LONG", long)
     monkeypatch.setattr(ngram_join, "EDGE_BOUND", 0 if long < 64 else 1000)
-    ngram_join.sizes.cache_clear()
+    if long < 64:
+        monkeypatch.setattr(ngram_join, "REACH", 1)  # leaves most to the search
     docs = families()
     got = ngram_join.components(table(docs).repartition(3), n, percent).collect()
     minus = lambda x: -1 if x is None else x
     assert sorted((minus(r["doc_id"]), r["n_shingles"], minus(r["component_id"])) for r in got) == brute_components(docs, n, percent)
-    ngram_join.sizes.cache_clear()
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_links_are_complete(table, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(6)
+    base = [[rng.choice(VOCABULARY) for _ in range(n)] for n in (30, 80, 150)]
+    docs = [(k, " ".join(changed(rng, rng.choice(base), rng.choice([0, 1, 1, 2, 3])))) for k in range(90)] + [(200, None), (201, "a")]
+    members, pairs = ngram_join.links(table(docs).repartition(4), 3, 90)
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    got = sorted((r["a"], r["b"]) for r in pairs.collect())
+    sets = {d: {tuple(ws[k : k + 3]) for k in range(len(ws) - 2)} for d, t in docs[:90] for ws in [t.split()]}
+    firsts = {frozenset(s): d for d, s in sorted(sets.items(), reverse=True)}
+    assert all(rep[d] == firsts[frozenset(s)] for d, s in sets.items()) and rep[200] is None and rep[201] == 201
+    ids = sorted(firsts.values())
+    assert got == [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])] and len(got) > 50
 
 
 def test_components_of_nothing(table):
