@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it
 as Parquet to the shared folder and reads it again for the next stage.
+
+Null and empty texts have too few words and go with the quality rules, if the
+classifier kept them. Rows without id are judged like others, are in no group of
+copies and no overlap, and so stay if their text is good. Rows that share an id are
+one document: they are kept or go together in the third and fourth stage, and are
+judged row by row before. Of a group of copies the least id stays. Texts of any
+length are read whole. Extra columns pass the first four stages, whatever their
+names. An empty table passes as an empty one; without labels nothing is rejected
+by the classifier (every score is one half, which is kept).
 """
 
 from __future__ import annotations
@@ -9,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from statwright.llm import decontamination, ngram_join, quality_classifier, quality_rules, sentencepiece
-from statwright.llm.common import staged, table
+from statwright.llm.common import discard, staged, table
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; the stages before it are deleted as soon as the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = staged(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(*before)
+        before = [docs]
     return docs
