@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statwright.llm.common import discard, staged
+from statwright.llm.common import broadcast_bytes, discard, staged
 
 #: Bits of a parity sketch, in longs of 64.
 SKETCH = 8
@@ -61,6 +61,8 @@ LONG = 64
 KEYS = 4
 #: Endpoint ids that are broadcast at most.
 ID_BOUND = 500_000
+#: Bytes in memory of the classes that are broadcast at most.
+BOUND = 32 << 20
 #: Edges that one task joins at most (some 150 bytes each in memory).
 EDGE_BOUND = 500_000
 #: Bytes of text that are hashed at once.
@@ -411,12 +413,27 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Parts into which the members of a class are dealt where the classes are not broadcast.
+SALTS = 16
+
+
+def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with the rep of their class, if they share it with others. A class may hold a third of all rows, so these are salted where a broadcast is too large."""
+    key = ["f1", "f2", "n"]
+    if broadcast_bytes(classes) <= BOUND:
+        return rows.join(F.broadcast(classes), key, "left")
+    salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
+
+
 def _features(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of documents (id, text): members (id, n, rep), the features of the representatives of equal sets, and the links (a, b) between an id's own texts."""
     feats = staged(features(docs, n, percent), "features")
     some = feats.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    members = staged(feats.select("id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").select("id", "n", "rep"), "members")
+    classes = staged(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
+    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("id"))
+    members = staged(_with_classes(feats.select("id", "n", "f1", "f2"), classes).select("id", "n", F.when(own.isNotNull(), F.coalesce("rep", own)).alias("rep")), "members")
+    discard(classes)
     # an id with several texts is one document, and stands for all of them
     named = members.where("rep IS NOT NULL").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bool_or(F.col("rep") == F.col("id")).alias("stands"))
     copies = staged(named.where("NOT stands").select("id"), "copies")

@@ -149,6 +149,7 @@ def test_components(table, monkeypatch, n, percent, block, long):
     monkeypatch.setattr(ngram_join, "EDGE_BOUND", 0 if long < 64 else 1000)
     if long < 64:
         monkeypatch.setattr(ngram_join, "REACH", 1)  # leaves most to the search
+        monkeypatch.setattr(ngram_join, "BOUND", -1)
     docs = families()
     got = ngram_join.components(table(docs).repartition(3), n, percent).collect()
     minus = lambda x: -1 if x is None else x
