@@ -32,15 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from statwright.llm.token_counts import MODEL
-from statwright.llm.vocabulary import MARK, MEMORY, UNIGRAM, Forward, Vocabulary
+from statwright.llm.vocabulary import MARK, UNIGRAM, Forward, Vocabulary
+
+#: Distinct units (some 200 bytes each) of a generation, of which a task remembers two, and pairs of pieces (some 350) that it remembers.
+KEPT, PAIRS = 300_000, 250_000
 
 
 class Encoder:
     """Ids of units are kept as little-endian 32-bit integers, so that a text's ids are one join."""
 
     def __init__(self, data: bytes, kind: int | None = None):
-        self.v = Vocabulary(data, kind)
+        self.v = Vocabulary(data, kind, PAIRS)
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learned(self, units: set[str]) -> dict[str, bytes]:
         """Segments units in the order of their trie."""
@@ -61,11 +65,14 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         v = self.v
-        if len(self.kept) > MEMORY:
-            self.kept.clear()
+        if len(self.kept) > KEPT:
+            self.old, self.kept = self.kept, {}
         keys = [v.keys(t) for t in texts]
         units = [v.units(t) if k is None else None for k, t in zip(keys, texts, strict=True)]
-        new = {k: v.named(k) for k in set(chain.from_iterable(k for k in keys if k)).difference(self.kept)}
+        needed = set(chain.from_iterable(k for k in keys if k)).difference(self.kept)
+        again = needed.intersection(self.old)
+        self.kept.update((k, self.old[k]) for k in again)
+        new = {k: v.named(k) for k in needed.difference(again)}
         odd = set(chain.from_iterable(u for u in units if u))
         found = self.learned(odd.union(chain.from_iterable(new.values())))
         self.kept.update((k, b"".join(map(found.__getitem__, us))) for k, us in new.items())
@@ -131,7 +138,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, kind: int | None = None, id_
     return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
-def _parts(batch: pd.DataFrame, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _parts(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Row ranges of a batch with about so many characters, or one longer text."""
     sizes = batch["text"].str.len().fillna(0).cumsum() // chars
     for _, part in batch.groupby(sizes, sort=False):

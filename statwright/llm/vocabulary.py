@@ -57,9 +57,9 @@ def _fields(b: bytes):
 
 
 class Vocabulary:
-    """The pieces of a model file's bytes. ``kind`` overrides what the file says."""
+    """The pieces of a model file's bytes. ``kind`` overrides what the file says; ``pairs`` of pieces are remembered."""
 
-    def __init__(self, data: bytes, kind: int | None = None):
+    def __init__(self, data: bytes, kind: int | None = None, pairs: int = 500_000):
         import struct
 
         self.pieces: list[str] = []
@@ -93,7 +93,7 @@ class Vocabulary:
         self.unknown_score = min(normal, default=0.0) - 10
         #: every end of a piece, and whether it is a piece itself
         self.tails = {p[k:]: False for p in self.ids for k in range(len(p))} | dict.fromkeys(self.ids, True)
-        self.unpaired = lru_cache(maxsize=500_000)(self._unpaired)
+        self.unpaired = lru_cache(maxsize=pairs)(self._unpaired)
 
     def marked(self, text: str) -> str:
         text = text.replace(" ", MARK)
