@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from statwright.llm.token_counts import MODEL
 from statwright.llm.vocabulary import MARK, UNIGRAM, Forward, Vocabulary
 
-#: Distinct units (some 200 bytes each) of a generation, of which a task remembers two, and pairs of pieces (some 350) that it remembers.
-KEPT, PAIRS = 300_000, 250_000
+#: Distinct units (some 200 bytes each) of a generation, of which a worker remembers two, and pairs of pieces (some 350) that it remembers.
+KEPT, PAIRS = 150_000, 150_000
 
 
 class Encoder:
@@ -80,6 +81,12 @@ class Encoder:
         return [b"".join(map(found_of, u) if k is None else map(of, k)) for k, u in zip(keys, units, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, kind: int | None) -> Encoder:
+    """One encoder a worker process, so that its tasks share what it remembers and none leaves a vocabulary behind."""
+    return Encoder(data, kind)
+
+
 def _sent(docs: DataFrame, model: str):
     with open(model, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -91,7 +98,7 @@ def encode(docs: DataFrame, model: str = MODEL, kind: int | None = None, id_col:
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(sent.value, kind)
+        encoder = _encoder(sent.value, kind)
         for batch in batches:
             for part in _parts(batch):
                 ids = encoder.encode_all([t or "" for t in part["text"]])
@@ -123,7 +130,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, kind: int | None = None, id_
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(sent.value, kind)
+        encoder = _encoder(sent.value, kind)
         for batch in batches:
             for part in _parts(batch):
                 texts = [t or "" for t in part["text"]]
