@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +95,26 @@ def discard(*stages: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which a worker process gives the memory it no longer uses back to the system: workers wait for further tasks, beside other stages."""
+
+    def then(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            del batches
+            _release()
+
+    return then
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def broadcast_bytes(df: DataFrame) -> int:
     """About how many bytes the rows of a written stage take in memory: 16 a value, and the texts and arrays in them."""
     of = {"string": lambda c: F.octet_length(c), "array<string>": lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.octet_length(x) + 24)}

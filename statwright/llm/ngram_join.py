@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statwright.llm.common import broadcast_bytes, discard, staged
+from statwright.llm.common import broadcast_bytes, discard, released, staged
 
 #: Bits of a parity sketch, in longs of 64.
 SKETCH = 8
@@ -194,7 +194,7 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 out.insert(0, "id", part["id"].array)
                 yield out
 
-    return docs.mapInPandas(run, f"id {kind}, n bigint, f1 bigint, f2 bigint, merged int, k int, sketch array<bigint>, least array<bigint>")
+    return docs.mapInPandas(released(run), f"id {kind}, n bigint, f1 bigint, f2 bigint, merged int, k int, sketch array<bigint>, least array<bigint>")
 
 
 class Run:
@@ -356,7 +356,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"].array, "s": [shingles(t, n).view(np.int64) for t in batch["text"]]})
 
-    of = staged(docs.join(few, "id").mapInPandas(sets, f"id {kind}, s array<bigint>"), "sets")
+    of = staged(docs.join(few, "id").mapInPandas(released(sets), f"id {kind}, s array<bigint>"), "sets")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,7 +364,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
     joined = pairs.join(of.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(of.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = staged(joined.select("a", "b", "sa", "sb").mapInPandas(probe, f"a {kind}, b {kind}"), "links")
+    out = staged(joined.select("a", "b", "sa", "sb").mapInPandas(released(probe), f"a {kind}, b {kind}"), "links")
     discard(ends, of)
     return out
 
@@ -388,7 +388,7 @@ def _joined(edges: DataFrame) -> DataFrame:
         ids = list(least)
         yield pd.DataFrame({"id": ids, "comp": [root(x) for x in ids]}, dtype=object)
 
-    return edges.coalesce(1).mapInPandas(run, f"id {kind}, comp {kind}")
+    return edges.coalesce(1).mapInPandas(released(run), f"id {kind}, comp {kind}")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -457,7 +457,7 @@ def _near(reps: DataFrame, percent: int) -> DataFrame:
 
     # each list has an order of its own; ranges split a list where one task would hold too much of it
     lists = reps.select(F.explode(F.slice("least", 1, KEYS)).alias("token"), "id", "n", "sketch").withColumn("place", F.xxhash64("id", "token"))
-    first = lists.repartitionByRange("token", "place").sortWithinPartitions("token", "place").mapInPandas(led, f"a {kind}, b {kind}")
+    first = lists.repartitionByRange("token", "place").sortWithinPartitions("token", "place").mapInPandas(released(led), f"a {kind}, b {kind}")
     return staged(first.where("a <> b").select(*_ordered()).distinct(), "led")
 
 
@@ -493,7 +493,7 @@ def _search(reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             for i, j in meeting(run, percent):
                 yield pd.DataFrame({"a": run.of["id"][i], "b": run.of["id"][j], "k": np.minimum(run.of["k"][i], run.of["k"][j])})
 
-    found = dealt.repartition("token").sortWithinPartitions("token").mapInPandas(met, f"a {kind}, b {kind}, k int")
+    found = dealt.repartition("token").sortWithinPartitions("token").mapInPandas(released(met), f"a {kind}, b {kind}, k int")
     found = found.where("a <> b").select(*_ordered(), "k").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("k").alias("k")).where("c >= k")
     return staged(found.select("a", "b"), "met")
 

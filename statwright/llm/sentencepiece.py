@@ -28,10 +28,13 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from statwright.llm.common import released
 from statwright.llm.token_counts import MODEL
 from statwright.llm.vocabulary import MARK, UNIGRAM, Forward, Vocabulary
 
@@ -97,14 +100,16 @@ def encode(docs: DataFrame, model: str = MODEL, kind: int | None = None, id_col:
     sent = _sent(docs, model)
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, kind)
         for batch in batches:
             for part in _parts(batch):
-                ids = encoder.encode_all([t or "" for t in part["text"]])
-                yield pd.DataFrame({id_col: part[id_col].array, "ids": [np.frombuffer(x, dtype="<i4") for x in ids]})
+                ids = encoder.encode_all([t or "" for t in part.column("text").to_pylist()])
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, "ids"])
 
-    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -113,11 +118,11 @@ def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_c
     schema = T.StructType([encoded.schema[id_col], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(sent.value)
+        v = _encoder(sent.value, None).v
         for batch in batches:
             yield pd.DataFrame({id_col: batch[id_col].array, "text": [None if x is None else v.decoded(list(x)) for x in batch["ids"]]})
 
-    return encoded.select(F.col(id_col).alias(id_col), F.col(ids_col).alias("ids")).mapInPandas(run, schema)
+    return encoded.select(F.col(id_col).alias(id_col), F.col(ids_col).alias("ids")).mapInPandas(released(run), schema)
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, kind: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,24 +134,27 @@ def round_trip(docs: DataFrame, model: str = MODEL, kind: int | None = None, id_
     sent = _sent(docs, model)
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(sent.value, kind)
         for batch in batches:
             for part in _parts(batch):
-                texts = [t or "" for t in part["text"]]
+                texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = []
                 for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
                     back = encoder.v.decoded(np.frombuffer(ids, dtype="<i4").tolist())
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "exact"])
-                out.insert(0, id_col, part[id_col].array)
-                yield out
+                n, ids_sha, back_sha, exact = zip(*rows, strict=True)
+                columns = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string()), pa.array(exact, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
-    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
-def _parts(batch: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
-    """Row ranges of a batch with about so many characters, or one longer text."""
-    sizes = batch["text"].str.len().fillna(0).cumsum() // chars
-    for _, part in batch.groupby(sizes, sort=False):
-        yield part
+def _parts(batch: pa.RecordBatch, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch with about so many bytes of text, or one longer text. Only a range's texts become Python strings."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // size
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
