@@ -71,8 +71,22 @@ def _path(df_or_path: DataFrame | str, spark: SparkSession):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside hand at most so many rows at once to Python; afterwards the session's own number holds again."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again; its Python workers get at most ``rows`` at once.
 
     It cuts the lineage, survives lost executors, keeps columns prunable and
     gives the optimizer true sizes, which a checkpoint does not. A stage that nobody
@@ -80,7 +94,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark, rows) if rows else contextlib.nullcontext():
+        df.write.parquet(path)
     fs, at = _path(path, spark)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

@@ -67,6 +67,8 @@ BOUND = 32 << 20
 EDGE_BOUND = 500_000
 #: Bytes of text that are hashed at once.
 SEGMENT = 1 << 20
+#: Texts, or pairs of whole sets, that are handed to Python at once (a set of 300 shingles has 2.4 KB).
+ROWS = 1000
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -188,11 +190,9 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                out = pd.DataFrame([_row(t, n, percent) for t in part["text"]], columns=["n", "f1", "f2", "merged", "k", "sketch", "least"])
-                out.insert(0, "id", part["id"].array)
-                yield out
+            out = pd.DataFrame([_row(t, n, percent) for t in batch["text"]], columns=["n", "f1", "f2", "merged", "k", "sketch", "least"])
+            out.insert(0, "id", batch["id"].array)
+            yield out
 
     return docs.mapInPandas(released(run), f"id {kind}, n bigint, f1 bigint, f2 bigint, merged int, k int, sketch array<bigint>, least array<bigint>")
 
@@ -356,7 +356,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"].array, "s": [shingles(t, n).view(np.int64) for t in batch["text"]]})
 
-    of = staged(docs.join(few, "id").mapInPandas(released(sets), f"id {kind}, s array<bigint>"), "sets")
+    of = staged(docs.join(few, "id").mapInPandas(released(sets), f"id {kind}, s array<bigint>"), "sets", ROWS)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -364,7 +364,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
             yield batch.loc[np.array(ok, bool), ["a", "b"]]
 
     joined = pairs.join(of.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(of.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = staged(joined.select("a", "b", "sa", "sb").mapInPandas(released(probe), f"a {kind}, b {kind}"), "links")
+    out = staged(joined.select("a", "b", "sa", "sb").mapInPandas(released(probe), f"a {kind}, b {kind}"), "links", ROWS)
     discard(ends, of)
     return out
 
@@ -428,7 +428,7 @@ def _with_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _features(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of documents (id, text): members (id, n, rep), the features of the representatives of equal sets, and the links (a, b) between an id's own texts."""
-    feats = staged(features(docs, n, percent), "features")
+    feats = staged(features(docs, n, percent), "features", ROWS)
     some = feats.where("n > 0 AND id IS NOT NULL")
     classes = staged(some.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "classes")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("id"))
