@@ -39,7 +39,7 @@ from statwright.llm.token_counts import MODEL
 from statwright.llm.vocabulary import MARK, UNIGRAM, Forward, Vocabulary
 
 #: Distinct units (some 200 bytes each) of a generation, of which a worker remembers two, and pairs of pieces (some 350) that it remembers.
-KEPT, PAIRS = 150_000, 150_000
+KEPT, PAIRS = 400_000, 400_000
 
 
 class Encoder:
