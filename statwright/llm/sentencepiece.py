@@ -2,7 +2,7 @@
 
 The distinct units of a batch that are not known yet are sorted, which lays them
 out as a trie in depth-first order: going from one to the next, the forward
-cells of their common prefix stay and only the rest is computed anew. The ids of
+cells and automaton states of their common prefix stay and only the rest is computed anew. The ids of
 a text are those of its units, joined; decoding gives the text back exactly.
 
 The model's own kind decides what the forward cells hold (see ``vocabulary``):
@@ -39,7 +39,7 @@ from statwright.llm.token_counts import MODEL
 from statwright.llm.vocabulary import MARK, UNIGRAM, Forward, Vocabulary
 
 #: Distinct units (some 200 bytes each) of a generation, of which a worker remembers two, and pairs of pieces (some 350) that it remembers.
-KEPT, PAIRS = 400_000, 400_000
+KEPT, PAIRS = 400_000, 250_000
 
 
 class Encoder:

@@ -8,7 +8,8 @@ marks with the characters after them, and single line ends. Units are
 independent, so each distinct unit is segmented once.
 
 Segmentation is a forward pass over the unit's end positions, for which the
-vocabulary's matches are the arcs:
+vocabulary's matches are the arcs, found by an automaton whose states and moves
+are made as texts ask for them:
 
 * unigram: the best score, in the order the library tries arcs (earlier starts
   first, a later one wins only if it is strictly better);
@@ -31,6 +32,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units that a task remembers before it starts anew.
 MEMORY = 1_200_000
+#: Moves between states (some 100 bytes each) that an automaton remembers before it finds them anew.
+MOVES = 300_000
+NEVER = float("-inf")
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -91,10 +95,34 @@ class Vocabulary:
         normal = [s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL]
         self.table = [p.replace(MARK, " ").encode() if t in (NORMAL, UNUSED) else bytes([int(p[3:5], 16)]) if t == BYTE else b"" for p, t in zip(self.pieces, self.types, strict=True)]
         self.unknown_score = min(normal, default=0.0) - 10
-        #: every end of a piece, and whether it is a piece itself
-        self.tails = {p[k:]: False for p in self.ids for k in range(len(p))} | dict.fromkeys(self.ids, True)
+        #: every beginning of a piece
+        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.states: dict[str, tuple] = {}
+        self.moves = 0
+        self.grown: dict[str, tuple | None] = {}
         self.unpaired = lru_cache(maxsize=pairs)(self._unpaired)
 
+    def state(self, text: str) -> tuple:
+        """(pieces that end ``text`` with their lengths, longest first; moves by character; text), where text begins a piece."""
+        found = self.states.get(text)
+        if found is None:
+            ends = (text[k:] for k in range(len(text)))
+            found = self.states[text] = (tuple((p, len(p)) for p in ends if p in self.ids), {}, text)
+        return found
+
+    def move(self, state: tuple, char: str) -> tuple:
+        """The state after one more character: the longest end of the text so far that begins a piece."""
+        text = state[2] + char
+        while text and text not in self.heads:
+            text = text[1:]
+        if self.moves >= MOVES:
+            self.moves = 0
+            for s in self.states.values():
+                s[1].clear()
+        after = state[1][char] = self.state(text)
+        self.moves += 1
+        return after
+
     def marked(self, text: str) -> str:
         text = text.replace(" ", MARK)
         return MARK + text if self.prefix and text else text
@@ -123,8 +151,8 @@ class Vocabulary:
     def spelled(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def merged(self, text: str) -> list[str]:
-        """BPE by its definition: merge the adjacent pair whose union scores best, the leftmost first."""
+    def merged(self, text: str, steps: list[tuple[float, int, str]] | None = None) -> list[str]:
+        """BPE by its definition: merge the adjacent pair whose union scores best, the leftmost first. ``steps`` gets (score, place, union)."""
         ids, scores = self.ids, self.scores
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
@@ -141,6 +169,8 @@ class Vocabulary:
             _, i, j, both = heapq.heappop(heap)
             if parts[i] is None or j >= len(parts) or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
                 continue
+            if steps is not None:
+                steps.append((scores[ids[both]], i, both))
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[i] < len(parts):
@@ -151,8 +181,46 @@ class Vocabulary:
         return [p for p in parts if p is not None]
 
     def _unpaired(self, left: str, right: str) -> bool:
-        """Whether merging the text of two pieces ends in just these two."""
-        return self.merged(left + right) == ([left, right] if left else [right])
+        """Whether merging the text of two pieces ends in just these two.
+
+        Until a merge crosses their border, each piece grows as it does alone. So the
+        part before the border and the part after it are followed through their
+        growth, best score first, and the union of both must never be next.
+        """
+        a, b = self.growth(left) if left else ((), (), True), self.growth(right)
+        if a is None or b is None:
+            return False
+        if not left:
+            return True
+        if not (a[2] and b[2]):
+            return self.merged(left + right) == [left, right]
+        ids, scores, before, after, i, j = self.ids, self.scores, a[1], b[0], 0, 0
+        while True:
+            part, x = before[i]
+            other, y = after[j]
+            both = ids.get(part + other)
+            if both is not None and x < scores[both] >= y:
+                return False
+            if x >= y:
+                if x == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def growth(self, piece: str) -> tuple | None:
+        """How merging makes a piece: its first parts and its last parts, each with the score of the merge that ends it, and whether scores only fall. None: it does not."""
+        if piece not in self.grown:
+            steps: list[tuple[float, int, str]] = []
+            if self.merged(piece, steps) == [piece]:
+                first = [(NEVER, 0, piece[:1]), *(s for s in steps if s[1] == 0)]
+                last = [(NEVER, 0, piece[-1:]), *(s for s in steps if s[1] + len(s[2]) == len(piece))]
+                ended = lambda parts: tuple((s[2], t[0]) for s, t in zip(parts, [*parts[1:], (NEVER,)], strict=True))
+                falls = all(s[0] >= t[0] for s, t in zip(steps, steps[1:]))  # noqa: B905
+                self.grown[piece] = (ended(first), ended(last), falls)
+            else:
+                self.grown[piece] = None
+        return self.grown[piece]
 
     @staticmethod
     def coded(ids: list[int]) -> bytes:
@@ -174,50 +242,40 @@ class Vocabulary:
 class Forward:
     """The forward cells of a unit, grown to its end and cut back to share a prefix.
 
-    ``last[i]`` is the piece that ends the first i characters' path (None: the
-    character is spelled), ``score[i]`` the path's score for unigram models. The unit
+    ``last[i]`` is the piece that ends the first i characters' path (empty: the
+    character is spelled), ``score[i]`` the path's score for unigram models, and
+    ``states[i]`` the automaton's state, which knows the arcs that end there. The unit
     is kept whole, so a cell costs no more in a long unit than in a short one.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.v, self.text = vocab, ""
-        self.last: list[str | None] = [""]
-        self.score = [0.0]
+        self.last, self.score, self.states = [""], [0.0], [vocab.state("")]
 
     def run(self, unit: str, same: int) -> None:
         """The cells of ``unit``, whose first ``same`` characters have theirs: arcs are tried from the earliest start on."""
-        v, last, score = self.v, self.last, self.score
-        del last[same + 1 :], score[same + 1 :]
+        v, last, score, states = self.v, self.last, self.score, self.states
+        del last[same + 1 :], score[same + 1 :], states[same + 1 :]
         self.text = unit
-        ids, tails = v.ids, v.tails
-        if v.kind == BPE:
-            unpaired = v.unpaired
-            for end in range(same + 1, len(unit) + 1):
-                found, j = [], end - 1
-                while j >= 0 and (whole := tails.get(piece := unit[j:end])) is not None:
-                    if whole:
-                        found.append(piece)
-                    j -= 1
-                for piece in reversed(found):
-                    if unpaired(last[end - len(piece)] or "", piece):
+        state, merging, unpaired = states[same], v.kind == BPE, v.unpaired
+        for char in unit[same:]:
+            state = state[1].get(char) or v.move(state, char)
+            states.append(state)
+            if merging:
+                for piece, n in state[0]:
+                    if unpaired(last[-n], piece):
                         last.append(piece)
                         break
                 else:
-                    last.append(None)
-            return
-        for end in range(same + 1, len(unit) + 1):
-            found, j = [], end - 1
-            while j >= 0 and (whole := tails.get(piece := unit[j:end])) is not None:
-                if whole:
-                    found.append(piece)
-                j -= 1
-            best, kept = None, None
-            for piece in reversed(found):
-                s = score[end - len(piece)] + v.scores[ids[piece]]
+                    last.append("")
+                continue
+            best, kept = None, ""
+            for piece, n in state[0]:
+                s = score[-n] + v.scores[v.ids[piece]]
                 if best is None or s > best:
                     best, kept = s, piece
-            if unit[end - 1] not in ids and (best is None or score[end - 1] + v.unknown_score > best):
-                best, kept = score[end - 1] + v.unknown_score, None
+            if char not in v.ids and (best is None or score[-1] + v.unknown_score > best):
+                best, kept = score[-1] + v.unknown_score, ""
             last.append(kept)
             score.append(best)
 
@@ -227,7 +285,7 @@ class Forward:
         out, end = [], len(text)
         while end > 0:
             piece = last[end]
-            if piece is None:
+            if not piece:
                 end -= 1
                 out.append(v.coded(v.spelled(text[end])))
             else:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from statwright.llm import decontamination, ngram_join, sentencepiece, token_counts
+from statwright.llm import decontamination, ngram_join, sentencepiece, token_counts, vocabulary
 from statwright.llm.vocabulary import UNIGRAM, Vocabulary, _varint
 
 TEXTS = ["", " ", "  a   b  ", "a\n\n b\n", "\n", "Hello world, hello", "日本語 テキスト 🙂x", "\t\x00z", "def f(x):\n    return  x\n", "é́ ﬁ x　y", "a" * 200, "x\u2581y", " lead", "trail ", "a \nb"]
@@ -32,6 +32,23 @@ def test_bpe_ids_are_the_library_s(data):
         assert "\u2581" in text or own.v.decoded(ids) == text
 
 
+def test_allowed_pairs_are_those_that_merging_leaves_alone(data):
+    v, rng = Vocabulary(data), random.Random(4)
+    pieces = list(v.ids)
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(5000)] + [(p[:k], p[k:]) for p in rng.sample(pieces, 3000) for k in range(1, len(p))]
+    for left, right in pairs:
+        if {left, right} <= v.ids.keys():
+            assert v.unpaired(left, right) == (v.merged(left + right) == [left, right]), (left, right)
+
+
+@pytest.mark.parametrize("kind", [None, UNIGRAM])
+def test_forgotten_moves_change_nothing(data, kind, monkeypatch):
+    texts = more(100)
+    want = sentencepiece.Encoder(data, kind).encode_all(texts)
+    monkeypatch.setattr(vocabulary, "MOVES", 7)
+    assert sentencepiece.Encoder(data, kind).encode_all(texts) == want
+
+
 def test_a_long_unit_takes_linear_time(data):
     import time
 
